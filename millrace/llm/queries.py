@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, simhash
+from millrace.llm import bpe, licenses, parsing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fingerprints": parsing.op3_fingerprints,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op7_quality": quality.op7_quality,
     "op8_simhash_groups": simhash.op8_simhash_groups,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_license_scan": licenses.ORACLE_SQL}
