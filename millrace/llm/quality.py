@@ -23,16 +23,19 @@ from xxhash import xxh3_64_intdigest
 
 from millrace.llm.common import documents, whole_text
 
-TRAIN_ROWS, KEEP = 8000, 0.5
+TRAIN_ROWS, KEEP = 8000, 0.8
 #: Punctuation taken off words before they are hashed.
 MARKS = ".,;:?\"()"
-DIMS, GRADES, LEAST_DOCS, STEPS, RIDGE = 1 << 22, 3, 3, 200, 1e-5
-#: A feature has a weight if its documents' grades differ from all documents' by so many standard deviations.
+#: Lengths of the word beginnings that are features of their own.
+STEMS = (4, 5)
+DIMS, GRADES, LEAST_DOCS, STEPS, RIDGE = 1 << 22, 3, 3, 500, 1e-5
+#: A feature has a weight if its documents' grades lie so many standard deviations below all documents'. Weights are
+#: evidence against a text (never above 0), so that a long text doesn't outweigh its faults by its length.
 LEAST_Z = 4.0
 
 
 def features(text: str) -> np.ndarray:
-    """Slots of the distinct words and of the text's shape (shares in tenths) below DIMS."""
+    """Slots of the distinct words, their beginnings and the text's shape (shares in tenths) below DIMS."""
     raw = text.split()
     words = text.lower().split()
     n = max(1, len(words))
@@ -41,7 +44,8 @@ def features(text: str) -> np.ndarray:
         "again": sum(map(eq, words, words[1:])) / n, "upper": sum(map(str.isupper, raw)) / n, "alpha": sum(map(str.isalpha, raw)) / n,
         "bars": words.count("|") / n, "varied": len(distinct) / n, "pairs": len(set(zip(words, words[1:], strict=False))) / n,
     }
-    names = [x.encode() for x in distinct] + [f"\0{k}={int(10 * v)}".encode() for k, v in shape.items()]
+    stems = {f"{x[:k]}\0" for x in distinct for k in STEMS if len(x) > k}
+    names = [x.encode() for x in distinct | stems] + [f"\0{k}={int(10 * v)}".encode() for k, v in shape.items()]
     return np.unique(np.fromiter(map(xxh3_64_intdigest, names), np.uint64, len(names)) % np.uint64(DIMS)).astype(np.int32)
 
 
@@ -69,7 +73,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Ordin
         high = (grades >= g).astype(float)
         mean = np.clip(high.mean(), 1e-3, 1 - 1e-3)
         seen = np.bincount(slots, weights=np.repeat(high, [len(r) for r in rows]), minlength=DIMS)
-        z = np.maximum(z, np.abs(seen - support * mean) / np.sqrt(np.maximum(support, 1) * mean * (1 - mean)))
+        z = np.maximum(z, (support * mean - seen) / np.sqrt(np.maximum(support, 1) * mean * (1 - mean)))
     names = np.flatnonzero((support >= LEAST_DOCS) & (z >= LEAST_Z))
     compact = np.full(DIMS, -1, np.int64)
     compact[names] = np.arange(len(names))
@@ -96,7 +100,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Ordin
         g = np.concatenate([np.bincount(col, weights=by_score[row], minlength=len(w)) + RIDGE * w, by_t])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-        w, t = w - move[: len(w)], t - move[len(w) :]
+        w, t = np.minimum(w - move[: len(w)], 0), t - move[len(w) :]
     weights = np.zeros(DIMS, np.float32)
     weights[names] = w
     return Ordinal(weights, np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))]))

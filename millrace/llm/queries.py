@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, licenses, parsing, quality, simhash
+from millrace.llm import bpe, licenses, lines, parsing, passages, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_fingerprints": parsing.op3_fingerprints,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_quality": quality.op7_quality,
     "op8_simhash_groups": simhash.op8_simhash_groups,
+    "op10_substring_dedup": passages.op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op6_license_scan": licenses.ORACLE_SQL}
