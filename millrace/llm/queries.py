@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, licenses, lines, parsing, passages, quality, simhash
+from millrace.llm import bpe, decontaminate, licenses, lines, parsing, passages, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_fingerprints": parsing.op3_fingerprints,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_url_filter": urls.op5_url_filter,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_quality": quality.op7_quality,
     "op8_simhash_groups": simhash.op8_simhash_groups,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_substring_dedup": passages.op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op6_license_scan": licenses.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL}
