@@ -30,7 +30,7 @@ BLOCK, COSINE, COPY, PARAPHRASE = 24, 0.3, 0.8, 0.6
 #: Latent dimensions at most, extra ones of the random range finder, documents whose passages the basis is fitted on, items
 #: searched in one pass over the corpus, and the share of blocks above which a term carries no weight.
 #: The basis has more dimensions than a block has items, so that it loses nothing of theirs.
-DIMS, EXTRA, SAMPLE_DOCS, ITEM_BLOCK, COMMON, ITEM_ENERGY = 256, 16, 2000, 224, 0.25, 16.0
+DIMS, EXTRA, SAMPLE_DOCS, ITEM_BLOCK, COMMON, ITEM_ENERGY = 256, 16, 1000, 224, 0.25, 16.0
 MARKS = ".,;:!?\"'()"
 
 
@@ -161,7 +161,7 @@ def fit_basis(docs: DataFrame, terms: Terms, weight: np.ndarray) -> np.ndarray:
         return z + scale * (rows.T @ (rows @ m)), energy
 
     q = np.random.default_rng(7).standard_normal((n, width))
-    for _ in range(2):
+    for _ in range(1):
         q, _ = np.linalg.qr(product(q)[0])
     z, _ = product(q)
     values, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)

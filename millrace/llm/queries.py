@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, licenses, lines, parsing, passages, quality, simhash, urls
+import corpus_pipeline
+from millrace.llm import bpe, decontaminate, licenses, lines, parsing, passages, quality, simhash, urls, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": wrappers.op1_html_text,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_fingerprints": parsing.op3_fingerprints,
     "op4_byte_bpe": bpe.op4_byte_bpe,
@@ -18,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_groups": simhash.op8_simhash_groups,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_substring_dedup": passages.op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op5_url_filter": urls.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL}
