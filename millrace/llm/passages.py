@@ -51,10 +51,12 @@ def _grams(h: np.ndarray, n: int, mul: np.uint64) -> np.ndarray:
 
 def _slide(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     """The least or greatest of each ``n`` consecutive values."""
+    if len(x) < n:
+        return x[:0]
     done, step = x, 1
     while step * 2 <= n:
         done, step = best(done[: len(done) - step], done[step:]), step * 2
-    size = max(0, len(x) - n + 1)
+    size = len(x) - n + 1
     return best(done[:size], done[n - step : n - step + size])
 
 
