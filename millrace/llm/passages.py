@@ -29,9 +29,8 @@ from xxhash import xxh3_64_intdigest
 from millrace.llm.common import cut, documents, stored, whole_text
 
 WINDOW, PHRASE = 20, 8
-#: Bytes of stretches that a salted group gets on average, recurring phrases of a shard, and the most rows of
-#: word ranges that are broadcast (about 40 bytes each); beyond that they are joined by a shuffle.
-GROUP_BYTES, SHARD_PHRASES, BROADCAST_ROWS = 2 << 20, 20_000, 500_000
+#: Bytes of stretches that a salted group gets on average, and recurring phrases of a shard.
+GROUP_BYTES, SHARD_PHRASES = 2 << 20, 20_000
 _MUL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 
@@ -232,8 +231,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     own = read.where("doc_id is not null").join(copies, "doc_id", "left_anti")
     ranges = stored(repeats(own).unionByName(copies.select("doc_id", F.lit(None).cast("array<struct<first:long,last:long>>").alias("ranges"))), "ranges")
     marked = ranges.withColumn("copy", F.col("ranges").isNull())
-    few = marked.agg(F.sum(F.coalesce(F.size("ranges"), F.lit(0)) + 1).alias("n")).first()["n"] or 0
-    joined = read.join(F.broadcast(marked) if few <= BROADCAST_ROWS else marked, "doc_id", "left")
+    joined = read.join(marked, "doc_id", "left")
     return joined.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
