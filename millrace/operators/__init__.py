@@ -1 +1,21 @@
-"""See the README for what this package holds."""
+"""Operators that compose DataFrame operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group and their ``rank``; Spark limits each group before the shuffle."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
+    """Each left row with ``values`` of the key's last right row at or before its time: one shuffle, no pairs."""
+    names = [c for c in left.columns if c not in (key, time)]
+    a = left.select(key, time, *names, *[F.lit(None).alias(v) for v in values], F.lit(1).alias("side"))
+    b = right.select(key, time, *[F.lit(None).alias(c) for c in names], *values, F.lit(0).alias("side"))
+    order = Window.partitionBy(key).orderBy(time, "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b).withColumns({v: F.last(v, ignorenulls=True).over(order) for v in values})
+    return both.where("side = 1").drop("side")
