@@ -3,7 +3,7 @@
 Terms are the benchmark's words. Passages are windows of two blocks of ``BLOCK`` words, moved by one block. Document
 frequencies come from all blocks of all texts. A randomised SVD of the TF-IDF rows of a bounded sample of passages and of all
 items (scaled to ITEM_ENERGY times its energy) gives the latent basis; its products are made on the executors. Then every passage of
-every text is searched: passages whose energy in benchmark terms bounds the cosine below ``COSINE`` are skipped, the others are
+every text is searched: passages whose benchmark terms hold less than ``COSINE`` squared of their energy are skipped, the others are
 projected and compared with all items. For each candidate the longest common subsequence with the words around the passage
 decides: at least ``COPY`` of the item's words is a copy; at least ``PARAPHRASE`` with the item's answer (its last words) there too
 is a paraphrase.
@@ -105,8 +105,7 @@ def block_counts(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
 
 
 def _passages(ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(passage, term, value) of the passages' rows in benchmark terms, and their number."""
-    n = len(weight) - 1
+    """(passage, term, value) of each word of the passages' rows in benchmark terms, and the number of passages."""
     at, t = _block_terms(ids)
     keep = weight[t] > 0
     at, t = at[keep], t[keep]
@@ -114,8 +113,7 @@ def _passages(ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
     count = max(1, blocks - 1)
     both = np.concatenate([at[at < count], (at - 1)[at > 0]]) if blocks > 1 else at
     terms = np.concatenate([t[at < count], t[at > 0]]) if blocks > 1 else t
-    cell, tf = np.unique(both * n + terms, return_counts=True)
-    return cell // n, cell % n, tf * weight[cell % n], count
+    return both, terms, weight[terms], count
 
 
 def fit_basis(docs: DataFrame, terms: Terms, weight: np.ndarray) -> np.ndarray:
@@ -146,7 +144,7 @@ def fit_basis(docs: DataFrame, terms: Terms, weight: np.ndarray) -> np.ndarray:
                     for lo in range(0, count, 256):
                         own = (p >= lo) & (p < lo + 256)
                         a = np.zeros((min(256, count - lo), len(right)), np.float32)
-                        a[p[own] - lo, t[own]] = v[own]
+                        np.add.at(a, (p[own] - lo, t[own]), v[own])
                         total += a.T @ (a @ right)
                         energy += float((v[own] ** 2).sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right) + 1)), pa.array([r.tobytes() for r in total] + [np.float64(energy).tobytes()])], ["term", "row"])
@@ -225,7 +223,8 @@ def _leaks(docs: DataFrame, terms: Terms, schema: str) -> DataFrame:
                     part = some[lo : lo + 1024]
                     place = np.full(count, -1)
                     place[part] = np.arange(len(part))
-                    own = place[p] >= 0
+                    own = np.flatnonzero(place[p] >= 0)
+                    own = own[np.argsort(p[own], kind="stable")]
                     q, s = place[p[own]], np.flatnonzero(np.diff(p[own], prepend=-1))
                     x = np.zeros((len(part), base.shape[1]), np.float32)
                     x[q[s]] = np.add.reduceat(base[t[own]] * v[own][:, None].astype(np.float32), s, axis=0)
