@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's own setting: an execution's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
     own = os.path.join(tempfile.gettempdir(), "checkpoints", "millrace")
@@ -29,11 +33,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again.
 
     Unlike a checkpoint, the files carry their measured size, so Catalyst broadcasts the table only below
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it (with AQE's skew handling) above.
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it (with AQE's skew handling) above. The shuffle files behind
+    them go when they are written, so that disk doesn't hold those of all steps at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)
 
 
