@@ -31,6 +31,8 @@ BLOCK, COSINE, COPY, PARAPHRASE = 24, 0.3, 0.8, 0.6
 #: searched in one pass over the corpus, and the share of blocks above which a term carries no weight.
 #: The basis has more dimensions than a block has items, so that it loses nothing of theirs.
 DIMS, EXTRA, SAMPLE_DOCS, ITEM_BLOCK, COMMON, ITEM_ENERGY = 256, 16, 1000, 224, 0.25, 16.0
+#: Passages projected at a time, so few that their words' vectors stay in the processor's cache.
+CACHED = 128
 MARKS = ".,;:!?\"'()"
 
 
@@ -205,6 +207,7 @@ def _leaks(docs: DataFrame, terms: Terms, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w, base, latent = shared.value
+        base = base * w[:-1, None].astype(np.float32)
         for batch in batches:
             out = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -219,15 +222,18 @@ def _leaks(docs: DataFrame, terms: Terms, schema: str) -> DataFrame:
                     continue
                 best: dict[int, tuple] = {}
                 some = np.flatnonzero(ok)
-                for lo in range(0, len(some), 1024):
-                    part = some[lo : lo + 1024]
-                    place = np.full(count, -1)
-                    place[part] = np.arange(len(part))
-                    own = np.flatnonzero(place[p] >= 0)
-                    own = own[np.argsort(p[own], kind="stable")]
-                    q, s = place[p[own]], np.flatnonzero(np.diff(p[own], prepend=-1))
+                place = np.full(count, -1)
+                place[some] = np.arange(len(some))
+                own = np.flatnonzero(place[p] >= 0)
+                own = own[np.argsort(p[own], kind="stable")]
+                row, term = place[p[own]], t[own]
+                ends = np.searchsorted(row, np.arange(0, len(some) + CACHED, CACHED))
+                for k, lo in enumerate(range(0, len(some), CACHED)):
+                    part, now = some[lo : lo + CACHED], slice(ends[k], ends[k + 1])
+                    q = row[now] - lo
+                    s = np.flatnonzero(np.diff(q, prepend=-1))
                     x = np.zeros((len(part), base.shape[1]), np.float32)
-                    x[q[s]] = np.add.reduceat(base[t[own]] * v[own][:, None].astype(np.float32), s, axis=0)
+                    x[q[s]] = np.add.reduceat(base[term[now]], s, axis=0)
                     cosine = (x / norm[part, None]) @ latent.T
                     for a, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
                         item = known.rows[k]
