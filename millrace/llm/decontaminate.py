@@ -169,7 +169,14 @@ def fit_basis(docs: DataFrame, terms: Terms, weight: np.ndarray) -> np.ndarray:
 
 
 def verify(item: np.ndarray, words: np.ndarray) -> tuple[str, float]:
-    """Kind of leak ("" for none) and the share of the item's words in order among ``words``."""
+    """Kind of leak ("" for none) and the share of the item's words in order among ``words``.
+
+    No common subsequence is longer than the item's words that occur at all, so where those are too few none is looked for.
+    """
+    there = set(words.tolist())
+    share = sum(t in there for t in item.tolist()) / len(item)
+    if share < PARAPHRASE:
+        return "", share
     share = common_length(item, words) / len(item)
     if share >= COPY:
         return "copy", share
