@@ -229,18 +229,21 @@ def _leaks(docs: DataFrame, terms: Terms, schema: str) -> DataFrame:
                     continue
                 best: dict[int, tuple] = {}
                 some = np.flatnonzero(ok)
-                place = np.full(count, -1)
-                place[some] = np.arange(len(some))
-                own = np.flatnonzero(place[p] >= 0)
-                own = own[np.argsort(p[own], kind="stable")]
-                row, term = place[p[own]], t[own]
-                ends = np.searchsorted(row, np.arange(0, len(some) + CACHED, CACHED))
-                for k, lo in enumerate(range(0, len(some), CACHED)):
-                    part, now = some[lo : lo + CACHED], slice(ends[k], ends[k + 1])
-                    q = row[now] - lo
-                    s = np.flatnonzero(np.diff(q, prepend=-1))
+                need = np.zeros(count + 1, bool)
+                need[some] = need[some + 1] = True
+                at, term = _block_terms(ids)
+                own = (w[term] > 0) & need[at]
+                at, term = at[own], term[own]
+                for lo in range(0, len(some), CACHED):
+                    part = some[lo : lo + CACHED]
+                    now = slice(*np.searchsorted(at, [part[0], part[-1] + 2]))
+                    first_of = np.flatnonzero(np.diff(at[now], prepend=-1))
+                    blocks_at, sums = at[now][first_of], np.add.reduceat(base[term[now]], first_of, axis=0)
                     x = np.zeros((len(part), base.shape[1]), np.float32)
-                    x[q[s]] = np.add.reduceat(base[term[now]], s, axis=0)
+                    for block in (part, part + 1):  # a block's sum serves both passages it is in
+                        j = np.minimum(np.searchsorted(blocks_at, block), len(blocks_at) - 1)
+                        hit = blocks_at[j] == block
+                        x[hit] += sums[j[hit]]
                     cosine = (x / norm[part, None]) @ latent.T
                     for a, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
                         item = known.rows[k]
