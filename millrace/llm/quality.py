@@ -66,18 +66,19 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Ordin
     """Full-batch Adam on the ordinal likelihood, from features and grades; None without two grades."""
     if len(set(grades.tolist())) < 2:
         return None
-    slots = np.concatenate(rows)
-    support = np.bincount(slots, minlength=DIMS)
-    z = np.zeros(DIMS)
+    length = [len(r) for r in rows]
+    present, slots = np.unique(np.concatenate(rows), return_inverse=True)  # no arrays of DIMS but the weights themselves
+    support = np.bincount(slots)
+    z = np.zeros(len(present))
     for g in range(1, GRADES):
         high = (grades >= g).astype(float)
         mean = np.clip(high.mean(), 1e-3, 1 - 1e-3)
-        seen = np.bincount(slots, weights=np.repeat(high, [len(r) for r in rows]), minlength=DIMS)
+        seen = np.bincount(slots, weights=np.repeat(high, length))
         z = np.maximum(z, (support * mean - seen) / np.sqrt(np.maximum(support, 1) * mean * (1 - mean)))
     names = np.flatnonzero((support >= LEAST_DOCS) & (z >= LEAST_Z))
-    compact = np.full(DIMS, -1, np.int64)
+    compact = np.full(len(present), -1, np.int32)
     compact[names] = np.arange(len(names))
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows)), length)
     used = compact[slots] >= 0
     col, row = compact[slots[used]], row[used]
     n, k = len(rows), GRADES - 1
@@ -102,7 +103,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Ordin
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, t = np.minimum(w - move[: len(w)], 0), t - move[len(w) :]
     weights = np.zeros(DIMS, np.float32)
-    weights[names] = w
+    weights[present[names]] = w
     return Ordinal(weights, np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))]))
 
 
