@@ -92,21 +92,35 @@ def read(page: str) -> Iterator[tuple[str, str, str]]:
         yield "tag", f"</{stack.pop()[1]}>", ""
 
 
-_UNIT = re.compile(r"((?:<[^<>]*>){1,%d}?)\1+" % LONGEST_REPEAT)
+_UNIT = re.compile(r"(.{1,%d}?)\1+" % LONGEST_REPEAT, re.S)
 
 
-def stream(page: str) -> str:
-    """The page's tokens, text as <#>, with neighbouring repeats written once."""
-    out: list[str] = []
-    for kind, where, text in read(page):
-        if kind == "tag":
-            out.append(where)
-        elif kind == "text" and not text.isspace() and (not out or out[-1] != "<#>"):
-            out.append("<#>")
-    flat = "".join(out)
+def _fold(parts: list[str]) -> list[str]:
+    """Neighbouring elements and slots with repeats of up to LONGEST_REPEAT of them written once."""
+    if len(parts) < 2:
+        return parts
+    names = {x: chr(0x100000 + k) if k < 0xFFFE else "" for k, x in enumerate(dict.fromkeys(parts))}
+    if "" in names.values():  # more kinds than characters for them
+        return parts
+    flat = "".join(map(names.__getitem__, parts))
     while (folded := _UNIT.sub(r"\1", flat)) != flat:
         flat = folded
-    return flat
+    own = {c: x for x, c in names.items()}
+    return [own[c] for c in flat]
+
+
+def stream(page: str) -> str:
+    """The page's tokens, text as <#>, with neighbouring repeats of whole elements written once."""
+    stack: list[list[str]] = [[]]  # of each open element: its tag, then what it holds
+    for kind, where, text in read(page):
+        if kind == "tag" and where[1] != "/":
+            stack.append([where])
+        elif kind == "tag":
+            first, *parts = stack.pop()
+            stack[-1].append("".join([first, *_fold(parts), where]))
+        elif kind == "text" and not text.isspace():
+            stack[-1].append("<#>")
+    return "".join(_fold(stack[0]))
 
 
 Wrapper = list  # of tokens, and of ["+", Wrapper] and ["?", Wrapper]

@@ -277,6 +277,23 @@ def test_wrapper_groups():
     assert ["?", ["<h1>", "<#>", "</h1>"]] in wrappers.infer([a, b])
 
 
+def texts_of(spark, *pages, url="http://h/{}"):
+    rows = [(k, url and url.format(k), page) for k, page in enumerate(pages)]
+    return [r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_only_whole_elements_are_folded(spark):
+    for page, want in [
+        ("<article><div><div><p>x</p></div></div></article>", "x"),
+        ("<article><ul><li>a<ul><li>b</ul></ul><ul><li><ul><li>c</ul></ul></article>", "a b c"),
+        ("<article><blockquote><blockquote>x</blockquote></blockquote></article>", "x"),
+        ("<article><div class=col-1><div class=col-2>x</div></div></article>", "x"),
+        ("<article>" + "<div>" * 3000 + "x", "x"),
+    ]:
+        assert texts_of(spark, f"<body>{page}") == [want]
+    assert wrappers.stream("<ul><li><p>a</p><li><p>b</p></ul>") == "<ul><li><p><#></p></li></ul>"
+
+
 def test_pipeline_stages_and_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = docs
