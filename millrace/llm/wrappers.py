@@ -1,8 +1,8 @@
 """Main text by wrapper inference: union-free regular expressions over the token streams of a host's pages.
 
 A page is a stream of block tags (with class, id and role) and text slots. Repeats in a stream are folded into repeated groups;
-the distinct folded streams of a host are aligned one after the other, and each mismatch becomes a repeat of what stands
-beside it or an optional group. The result is the host's wrapper. Its slots are told apart by where they stand: slots inside
+the distinct folded streams of a host are aligned one after the other, level by level, and each element that doesn't match becomes a
+repeat of what stands beside it or an optional group. The result is the host's wrapper. Its slots are told apart by where they stand: slots inside
 an article (or the main part, or else the body) are main text unless menus, headers, footers, sidebars, notices, adverts, forms
 or comments hold them. A page's text is what its tokens put into its host's main slots.
 
@@ -123,40 +123,92 @@ def stream(page: str) -> str:
     return "".join(_fold(stack[0]))
 
 
-Wrapper = list  # of tokens, and of ["+", Wrapper] and ["?", Wrapper]
+Wrapper = list  # of tokens, and of ["+", Wrapper] and ["?", Wrapper] around a whole element or slot
+Forest = list  # of [optional, repeated, opening tag or <#>, Forest]
 
 
 def _plain(items: Wrapper) -> list[str]:
     return [t for x in items for t in (_plain(x[1]) if isinstance(x, list) else [x])]
 
 
-def align(wrapper: Wrapper, tokens: Wrapper) -> Wrapper:
-    """A wrapper that also covers ``tokens``: mismatches become repeated or optional groups."""
-    a, b = ([json.dumps(x) for x in items] for items in (wrapper, tokens))
-    inner = {json.dumps(x[1][0]): x for x in wrapper if isinstance(x, list) and len(x[1]) == 1}
+def _forest(items: Wrapper) -> Forest:
+    top: Forest = []
+    stack, groups = [top], [(iter(items), False, False, 1)]
+    while groups:
+        left, optional, repeated, depth = groups[-1]
+        x = next(left, None)
+        here = len(stack) == depth  # a group's marks are those of what stands in it, not of what that holds
+        if x is None:
+            groups.pop()
+        elif isinstance(x, list):
+            groups.append((iter(x[1]), here and optional or x[0] == "?", here and repeated or x[0] == "+", len(stack)))
+        elif x[1] == "/":
+            stack.pop()
+        else:
+            node = [here and optional, here and repeated, x, []]
+            stack[-1].append(node)
+            if x != "<#>":
+                stack.append(node[3])
+    return top
+
+
+def _items(forest: Forest) -> Wrapper:
     out: Wrapper = []
-    for op, i, j, k, n in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += wrapper[i:j]
+    work: list[tuple] = [(x, out) for x in reversed(forest)]
+    while work:
+        x, to = work.pop()
+        if isinstance(x, str):
+            to.append(x)
             continue
-        for part in (wrapper[i:j], tokens[k:n]):
-            if not part or all(json.dumps(x) in inner for x in part):
-                continue
-            size = len(part)
-            if _plain(out[-size:]) == _plain(part):  # a square: the group before stands again
-                out[-size:] = [["+", out[-size:]]]
-            else:
-                out += part if all(isinstance(x, list) and x[0] == "?" for x in part) else [["?", part]]
+        optional, repeated, token, inner = x
+        for mark in ["?"] * optional + ["+"] * repeated:
+            to.append([mark, []])
+            to = to[-1][1]
+        to.append(token)
+        if token != "<#>":
+            work.append((f"</{token[1:]}", to))
+            work += [(y, to) for y in reversed(inner)]
     return out
 
 
+def _cover(forest: Forest, other: Forest) -> None:
+    """Let ``forest`` also cover ``other``, level by level, so that what is put in holds whole elements and alternatives stay apart."""
+    work = [(forest, other)]
+    while work:
+        a, b = work.pop()
+        out: Forest = []
+        for op, i, j, k, n in SequenceMatcher(None, [x[2] for x in a], [x[2] for x in b], autojunk=False).get_opcodes():
+            if op == "equal":
+                for x, y in zip(a[i:j], b[k:n], strict=True):
+                    out.append([x[0] or y[0], x[1] or y[1], x[2], x[3]])
+                    work.append((x[3], y[3]))
+                continue
+            for x in (*a[i:j], *b[k:n]):
+                if out and out[-1][2] == x[2]:  # the element before stands again
+                    out[-1][1] = True
+                    work.append((out[-1][3], x[3]))
+                else:
+                    out.append([True, *x[1:]])
+        a[:] = out
+
+
+def align(wrapper: Wrapper, tokens: Wrapper) -> Wrapper:
+    """A wrapper that also covers ``tokens``: elements that don't match become repeated or optional groups."""
+    out = _forest(wrapper)
+    _cover(out, _forest(tokens))
+    return _items(out)
+
+
 def infer(streams: list[str]) -> Wrapper:
     """One wrapper of distinct folded streams, the longest first."""
-    wrapper: Wrapper | None = None
-    for text in sorted(set(streams), key=lambda x: (-len(x), x)):
-        tokens: Wrapper = re.findall(r"<[^<>]*>", text)
-        wrapper = tokens if wrapper is None else align(wrapper, tokens)
-    return wrapper or []
+    wrapper: Forest = []
+    for k, text in enumerate(sorted(set(streams), key=lambda x: (-len(x), x))):
+        own = _forest(re.findall(r"<[^<>]*>", text))
+        if k:
+            _cover(wrapper, own)
+        else:
+            wrapper = own
+    return _items(wrapper)
 
 
 def _role(key: str) -> str:

@@ -294,6 +294,32 @@ def test_only_whole_elements_are_folded(spark):
     assert wrappers.stream("<ul><li><p>a</p><li><p>b</p></ul>") == "<ul><li><p><#></p></li></ul>"
 
 
+def test_hosts_whose_containers_differ(spark):
+    for a, b in [("<body><article class='post cat-a'>", "<body><article class='post cat-b'>"), ("<body><div class=content>", "<body><section class=content>"), ("<body class=k><div id=main>", "<body class=l><div id=main>")]:
+        pages = [f"{a}<p>x</p>", f"{b}<p>y</p>", f"{b}<h1>t</h1><p>z</p>", f"{a}<h2>u</h2>", f"{a.replace('body', 'body id=q')}v"]
+        assert texts_of(spark, *pages) == ["x", "y", "t z", "u", "v"]
+
+
+def test_wrappers_have_the_slots_of_their_streams():
+    rng = random.Random(4)
+
+    def some(depth):
+        return "".join("t" if depth > 3 or rng.random() < 0.3 else f"<{(n := rng.choice(['div', 'ul', 'section', 'div class=a']))}>{some(depth + 1)}</{n.split()[0]}>" for _ in range(rng.randrange(4)))
+
+    for _ in range(200):
+        pages = [f"<body>{some(0)}</body>" for _ in range(rng.randrange(1, 7))]
+        halves = [wrappers.infer([wrappers.stream(p) for p in pages[k::2]]) for k in (0, 1)]
+        stack, got = [], set()
+        for x in wrappers._plain(wrappers.align(*halves)):
+            if x[1] == "/":
+                assert stack.pop() == x[2:-1]
+            elif x == "<#>":
+                got.add("/".join(stack))
+            else:
+                stack.append(x[1:-1])
+        assert not stack and got == {p for page in pages for kind, p, _ in wrappers.read(page) if kind == "text"}
+
+
 def test_pipeline_stages_and_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = docs
