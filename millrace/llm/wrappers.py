@@ -4,7 +4,8 @@ A page is a stream of block tags (with class, id and role) and text slots. Repea
 the distinct folded streams of a host are aligned one after the other, level by level, and each element that doesn't match becomes a
 repeat of what stands beside it or an optional group. The result is the host's wrapper. Its slots are told apart by where they stand: slots inside
 an article (or the main part, or else the body) are main text unless menus, headers, footers, sidebars, notices, adverts, forms
-or comments hold them. A page's text is what its tokens put into its host's main slots.
+or comments hold them. A page's text is what its tokens put into its host's main slots, those of the best of these three ranks that
+the page has text in.
 
 Only distinct folded streams are shuffled, first dealt by a hash of the stream, so a host with a third of all pages merges
 in many tasks. The wrappers are a stored table that Catalyst broadcasts only if its measured size allows it.
@@ -48,6 +49,8 @@ OTHER_WORDS = set(
     "newsletter notice notices pagination popup promo related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_WORDS = set("article content entry post story main".split())
+#: What holds main text, best first.
+RANKS = ("article", "main", "")
 LONGEST_REPEAT, DEALT = 8, 16
 
 
@@ -221,10 +224,10 @@ def _role(key: str) -> str:
     return "main" if name == "main" or "role=main" in rest or words & MAIN_WORDS else ""
 
 
-def main_slots(wrapper: Wrapper) -> list[str]:
-    """Paths of the wrapper's slots that hold main text."""
+def main_slots(wrapper: Wrapper) -> list[list[str]]:
+    """Paths of the wrapper's slots that hold main text, by rank: inside an article, the main part, or else the body."""
     stack: list[str] = []
-    found: dict[str, str] = {}
+    found: dict[str, int] = {}
     for token in _plain(wrapper):
         if token == "<#>":
             roles = [_role(k) for k in stack]
@@ -232,21 +235,21 @@ def main_slots(wrapper: Wrapper) -> list[str]:
             if held == "article":  # an article's own header keeps its headings
                 roles = [r for k, r in zip(stack, roles, strict=True) if not (k.partition(".")[0] == "header" and re.match("h[1-6]", stack[-1]))]
             if "other" not in roles and "body" in {k.partition(".")[0] for k in stack} | ({"body"} if held else set()):
-                found["/".join(stack)] = held
+                found["/".join(stack)] = RANKS.index(held)
         elif token[1] != "/":
             stack.append(token[1:-1])
-        elif token[2:-1] in stack:
-            while stack.pop() != token[2:-1]:
-                pass
-    best = next((r for r in ("article", "main") if r in found.values()), "")
-    return sorted(p for p, r in found.items() if r == best)
+        else:
+            stack.pop()
+    return [sorted(p for p, r in found.items() if r == rank) for rank in range(len(RANKS))]
 
 
-def main_text(page: str, slots: set[str]) -> str:
-    """The text in ``slots``: references decoded, white space as one space, blocks joined by one space."""
+def main_text(page: str, slots: dict[str, int]) -> str:
+    """The text in those of ``slots`` (path, rank) that have the page's best rank: references decoded, white space as one space, blocks joined by one space."""
+    parts = list(read(page))
+    best = min((slots[where] for kind, where, text in parts if kind == "text" and where in slots and html.unescape(text).strip()), default=None)
     blocks, now, last = [], [], None
-    for kind, where, text in read(page):
-        if kind == "text" and where in slots:
+    for kind, where, text in parts:
+        if kind == "text" and slots.get(where, -1) == best:
             if where != last:
                 blocks.append("".join(now))
                 now, last = [], where
@@ -285,12 +288,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     own = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    slots = F.pandas_udf(lambda s: s.map(lambda x: main_slots(json.loads(x))), "array<string>")
+    slots = F.pandas_udf(lambda s: s.map(lambda x: main_slots(json.loads(x))), "array<array<string>>")
     known = stored(wrappers(own.select("host", "html")).select("host", slots("wrapper").alias("slots")), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, set(s or ())) for page, s in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True)]
+            texts = [main_text(page, {p: rank for rank, paths in enumerate(s or ()) for p in paths}) for page, s in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = own.join(known, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "slots")

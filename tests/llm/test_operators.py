@@ -300,6 +300,12 @@ def test_hosts_whose_containers_differ(spark):
         assert texts_of(spark, *pages) == ["x", "y", "t z", "u", "v"]
 
 
+def test_each_page_has_its_own_rank_of_slots(spark):
+    pages = ["<body><article>x</article><p>no", "<body><main>y</main><p>no", "<body><div class=content>z</div><p>no", "<body><nav>no</nav><p>v", "<body><article> &nbsp;</article><p>w"]
+    want = ["x", "y", "z", "v", "w"]
+    assert texts_of(spark, *pages) == want and texts_of(spark, *pages, url=None) == want
+
+
 def test_wrappers_have_the_slots_of_their_streams():
     rng = random.Random(4)
 
