@@ -306,6 +306,11 @@ def test_each_page_has_its_own_rank_of_slots(spark):
     assert texts_of(spark, *pages) == want and texts_of(spark, *pages, url=None) == want
 
 
+def test_a_lone_slot_counts_where_it_stands(spark):
+    pages = ["<body><nav>k<ul><li>m</ul></nav><article><p>x</p></article>", "<body><article><p>x</p></article>", "<body><article>a<p>x</p></article>"]
+    assert texts_of(spark, *pages) == ["x", "x", "a x"]
+
+
 def test_wrappers_have_the_slots_of_their_streams():
     rng = random.Random(4)
 
