@@ -4,7 +4,7 @@ A page is a stream of block tags (with class, id and role) and text slots. Repea
 the distinct folded streams of a host are aligned one after the other, level by level, and each element that doesn't match becomes a
 repeat of what stands beside it or an optional group. The result is the host's wrapper. Its slots are told apart by where they stand: slots inside
 an article (or the main part, or else the body) are main text unless menus, headers, footers, sidebars, notices, adverts, forms
-or comments hold them. A page's text is what its tokens put into its host's main slots, those of the best of these three ranks that
+or comments hold them. A page's text is what its tokens put into its host's main slots, those of the best rank (RANKS) that
 the page has text in.
 
 Only distinct folded streams are shuffled, first dealt by a hash of the stream, so a host with a third of all pages merges
@@ -49,16 +49,18 @@ OTHER_WORDS = set(
     "newsletter notice notices pagination popup promo related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 MAIN_WORDS = set("article content entry post story main".split())
-#: What holds main text, best first.
-RANKS = ("article", "main", "")
+#: First words of names such as has-sidebar, which tell of a page and not of the element.
+NOT_OTHER = set("has have is no not with without".split())
+#: What holds main text, best first; "beside" is an article or main part within an element that is other by its class or id.
+RANKS = ("article", "main", "beside", "")
 LONGEST_REPEAT, DEALT = 8, 16
 
 
 def key_of(name: str, attributes: str) -> str:
-    """An element's key: its name with class, id and role in lower case, digits as 0."""
+    """An element's key: its name with class, id and role in lower case, digits as 0; of html and body the role alone."""
     if not attributes:
         return name
-    found = [f"{a.lower()}={v.strip('\"\'').lower()}" for a, v in ATTRIBUTE.findall(attributes)]
+    found = [f"{a.lower()}={v.strip('\"\'').lower()}" for a, v in ATTRIBUTE.findall(attributes) if name not in ("html", "body") or a.lower() == "role"]
     return re.sub(r"[\s<>()+?/]+", ".", re.sub(r"\d+", "0", " ".join([name, *found])))
 
 
@@ -214,27 +216,54 @@ def infer(streams: list[str]) -> Wrapper:
     return _items(wrapper)
 
 
-def _role(key: str) -> str:
+def _classes(rest: str) -> list[list[str]]:
+    """The words of each class and id of a key, without digits at their ends."""
+    return [words for x in re.sub(r"(?:class|id|role)=", " ", rest).replace(".", " ").split() if (words := [w for w in re.split(r"[^a-z]+", x) if w])]
+
+
+def _role(key: str, within: bool = False) -> str:
+    """"article", "main", "other", "word" (other by its class or id) or "", of an element ``within`` a main container or not.
+
+    Words for other text count as whole names, and outside main containers also as what a name like site-header ends
+    with; never on html and body, nor on the article or main element that is the container.
+    """
     name, _, rest = key.partition(".")
-    words = set(re.split(r"[^a-z]+", re.sub(r"(?:class|id|role)=", " ", rest)))
-    if name in OTHER or words & OTHER_WORDS or any(f"role={r}" in rest for r in OTHER_ROLES):
+    classes = _classes(rest)
+    if name in OTHER or any(f"role={r}" in rest for r in OTHER_ROLES):
         return "other"
+    if name in ("html", "body"):
+        return "main" if "role=main" in rest else ""
+    box = name in ("article", "main")
+    whole = any(len(words) == 1 and words[0] in OTHER_WORDS for words in classes)
+    if whole and (within or not box) or not within and not box and any(words[-1] in OTHER_WORDS and words[0] not in NOT_OTHER for words in classes):
+        return "word"
     if name == "article":
         return "article"
-    return "main" if name == "main" or "role=main" in rest or words & MAIN_WORDS else ""
+    return "main" if name == "main" or "role=main" in rest or any(w in MAIN_WORDS for words in classes for w in words) else ""
+
+
+def _roles(stack: list[str]) -> list[str]:
+    out: list[str] = []
+    within = False
+    for key in stack:
+        out.append(_role(key, within))
+        within = within or out[-1] in ("article", "main")
+    return out
 
 
 def main_slots(wrapper: Wrapper) -> list[list[str]]:
-    """Paths of the wrapper's slots that hold main text, by rank: inside an article, the main part, or else the body."""
+    """Paths of the wrapper's slots that hold main text, by RANKS."""
     stack: list[str] = []
     found: dict[str, int] = {}
     for token in _plain(wrapper):
         if token == "<#>":
-            roles = [_role(k) for k in stack]
+            roles = _roles(stack)
             held = next((r for r in ("article", "main") if r in roles), "")
             if held == "article":  # an article's own header keeps its headings
                 roles = [r for k, r in zip(stack, roles, strict=True) if not (k.partition(".")[0] == "header" and re.match("h[1-6]", stack[-1]))]
-            if "other" not in roles and "body" in {k.partition(".")[0] for k in stack} | ({"body"} if held else set()):
+            if held and "word" in roles and min(map(roles.index, {"article", "main"} & set(roles))) > max(k for k, r in enumerate(roles) if r == "word"):
+                held, roles = "beside", [r for r in roles if r != "word"]
+            if not {"other", "word"} & set(roles) and "body" in {k.partition(".")[0] for k in stack} | ({"body"} if held else set()):
                 found["/".join(stack)] = RANKS.index(held)
         elif token[1] != "/":
             stack.append(token[1:-1])

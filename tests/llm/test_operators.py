@@ -311,6 +311,23 @@ def test_a_lone_slot_counts_where_it_stands(spark):
     assert texts_of(spark, *pages) == ["x", "x", "a x"]
 
 
+def test_words_of_classes_count_as_whole_names(spark):
+    for page, want in [
+        ("<body class='has-sidebar'><article>x</article>", "x"),
+        ("<body class='sidebar'><p>x</p>", "x"),
+        ("<body><article class='post has-comments comments'>x<div class=comments>no</div></article>", "x"),
+        ("<body><main id=share>x<article class=comment>no</article></main>", "x"),
+        ("<body><div class='content social-news'>x<div class='social 2'>no</div></div>", "x"),
+        ("<body><div class='page sidebar'><article>x<div class=lead-widget>y</div></article></div>", "x y"),
+        ("<body><div class=related><article>no</article></div><article>x</article>", "x"),
+        ("<body><div class=with-sidebar><p>x</p><div class=site-header>no</div><div class=menu2>no</div></div>", "x"),
+        ("<body><div class=has-sidebar><nav><article>no</article></nav>x</div>", "x"),
+    ]:
+        ranks = wrappers.main_slots(wrappers.infer([wrappers.stream(page)]))
+        assert wrappers.main_text(page, {p: k for k, paths in enumerate(ranks) for p in paths}) == want, page
+    assert texts_of(spark, "<body class='has-sidebar'><article class=with-ads>x</article>") == ["x"]
+
+
 def test_wrappers_have_the_slots_of_their_streams():
     rng = random.Random(4)
 
