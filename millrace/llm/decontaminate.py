@@ -3,10 +3,11 @@
 Terms are the benchmark's words. Passages are windows of two blocks of ``BLOCK`` words, moved by one block. Document
 frequencies come from all blocks of all texts. A randomised SVD of the TF-IDF rows of a bounded sample of passages and of all
 items (scaled to ITEM_ENERGY times its energy) gives the latent basis; its products are made on the executors. Then every passage of
-every text is searched: passages whose benchmark terms hold less than ``COSINE`` squared of their energy are skipped, the others are
-projected and compared with all items. For each candidate the longest common subsequence with the words around the passage
-decides: at least ``COPY`` of the item's words is a copy; at least ``PARAPHRASE`` with the item's answer (its last words) there too
-is a paraphrase.
+every text is searched: the words around it, as many on each side as the item has, are scored by the item's latent image, without
+regard to other words or to the corpus's size. What scores no less than the lightest words of the item that ``verify`` could accept
+is a candidate, so items of all lengths, from one word on, are covered. For each candidate the longest common
+subsequence with the words around the passage decides: at least ``COPY`` of the item's words is a copy; at least ``PARAPHRASE`` with
+the item's answer (its last words) there too is a paraphrase. ``cosine`` is that of the item and of its words around the passage.
 
 Defined cases: null texts count as empty on both sides; empty items match nothing; items with a null id are
 left out; repeated items of an id count once each; rows that share a doc_id are searched each and reported once; rows
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, documents, whole_text
 
-BLOCK, COSINE, COPY, PARAPHRASE = 24, 0.3, 0.8, 0.6
+BLOCK, COPY, PARAPHRASE, SLACK = 24, 0.8, 0.6, 0.95
 #: Latent dimensions at most, extra ones of the random range finder, documents whose passages the basis is fitted on, items
-#: searched in one pass over the corpus, and the share of blocks above which a term carries no weight.
-#: The basis has more dimensions than a block has items, so that it loses nothing of theirs.
-DIMS, EXTRA, SAMPLE_DOCS, ITEM_BLOCK, COMMON, ITEM_ENERGY = 256, 16, 1000, 224, 0.25, 16.0
-#: Passages projected at a time, so few that their words' vectors stay in the processor's cache.
-CACHED = 128
+#: searched in one pass over the corpus, and the items' energy in the fit.
+#: What the items span is put into the basis after the fit, so that it loses nothing of theirs; SLACK is for rounding.
+DIMS, EXTRA, SAMPLE_DOCS, ITEM_BLOCK, ITEM_ENERGY = 256, 16, 1000, 224, 16.0
+#: Passages scored at a time, so few that most items can be left out by the words of all of them.
+PIECE = 64
 MARKS = ".,;:!?\"'()"
 
 
@@ -186,6 +187,14 @@ def verify(item: np.ndarray, words: np.ndarray) -> tuple[str, float]:
     return "", share
 
 
+def own_cosine(item: np.ndarray, words: np.ndarray, weight: np.ndarray) -> float:
+    """The cosine of an item and of those of ``words`` that the item has."""
+    terms, n = np.unique(item, return_counts=True)
+    there = np.array([(words == t).sum() for t in terms.tolist()])
+    a, b = n * weight[terms], there * weight[terms]
+    return float(a @ b / max(1e-9, np.linalg.norm(a) * np.linalg.norm(b)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that leaks into it: doc_id, item_id, kind, share (of the item's words), cosine."""
     spark = docs.sparkSession
@@ -200,58 +209,76 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", "x.kind", "x.share", "x.cosine")
 
 
+def least_score(weights: np.ndarray) -> float:
+    """The least score of words around a passage that ``verify`` can accept, by the weights of an item's words in order.
+
+    At least PARAPHRASE of the words must be there; no choice of them has less than the lightest ones.
+    """
+    need = max(1, int(np.ceil(PARAPHRASE * len(weights) - 1e-9)))
+    return SLACK * float(np.sort(weights.astype(np.float64) ** 2)[:need].sum())
+
+
+def candidates(ids: np.ndarray, image: np.ndarray, reach: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(passage, item) where the scores of the blocks around the passage add up to the item's least.
+
+    ``image`` has the items' latent images by term, ``reach`` the blocks beside a passage that an item's words go to. A term counts
+    once a block. Texts are gone through in pieces, so memory doesn't grow with their length.
+    """
+    blocks = -(-len(ids) // BLOCK)
+    count, halo = max(1, blocks - 1), int(reach.max())
+    step = max(PIECE, 2 * halo)
+    for lo in range(0, count, step):
+        hi = min(count, lo + step)
+        first, last = max(0, lo - halo), min(blocks, hi + 1 + halo)
+        at, term = _block_terms(ids[first * BLOCK : last * BLOCK])
+        there = np.zeros(len(image), bool)
+        there[term] = True
+        some = np.flatnonzero(image[there].sum(axis=0) >= least)  # no passage has more than the piece's words together
+        if not len(some):
+            continue
+        pairs = np.unique(at * len(image) + term)
+        at, term = pairs // len(image), pairs % len(image)
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        sums = np.zeros((last - first + 1, len(some)), np.float32)
+        sums[at[starts] + 1] = np.add.reduceat(image[np.ix_(term, some)], starts, axis=0)
+        np.cumsum(sums, axis=0, out=sums)
+        here = np.arange(lo, hi)[:, None]
+        ends, begins = np.minimum(here + 2 + reach[some], last) - first, np.maximum(here - reach[some], first) - first
+        columns = np.arange(len(some))
+        for i, j in zip(*np.nonzero(sums[ends, columns] - sums[begins, columns] >= least[some]), strict=True):
+            yield lo + int(i), int(some[j])
+
+
 def _leaks(docs: DataFrame, terms: Terms, schema: str) -> DataFrame:
     spark = docs.sparkSession
     counts, blocks = block_counts(docs, terms)
-    idf = np.log((blocks + 1) / (counts + 1))
-    weight = np.append(np.where(counts <= COMMON * blocks, np.maximum(idf, 0.1), 0.0), np.log(blocks + 1.0))  # the last: any other word
-    basis = fit_basis(docs, terms, weight)
+    weight = np.maximum(np.log((blocks + 1) / (counts + 1)), 0.1)
+    basis = fit_basis(docs, terms, np.append(weight, 0.0))
     vectors = np.zeros((len(terms.items), len(terms.ids)), np.float32)
     for k, row in enumerate(terms.rows):
         np.add.at(vectors[k], row, weight[row])
-    norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
-    shared = spark.sparkContext.broadcast((terms, weight, basis, (vectors @ basis / norms[:, None]).astype(np.float32)))
+    basis, _ = np.linalg.qr(np.hstack([vectors.T, basis]).astype(np.float64))  # with all that the items span, so that no part of one is lost
+    image = ((basis @ (basis.T @ vectors.T)) * weight[:, None]).astype(np.float32)
+    reach = np.array([-(-len(row) // BLOCK) for row in terms.rows])
+    least = np.array([least_score(weight[row]) for row in terms.rows], np.float32)
+    shared = spark.sparkContext.broadcast((terms, weight, image, reach, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w, base, latent = shared.value
-        base = base * w[:-1, None].astype(np.float32)
+        known, w, images, reaches, leasts = shared.value
         for batch in batches:
             out = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = known.of(text)
-                p, t, v, count = _passages(ids, w)
-                inside = np.bincount(p, v * v, count)
-                other = np.add.reduceat(ids < 0, np.arange(0, max(1, len(ids)), BLOCK)) if len(ids) else np.zeros(1)
-                other = other[:-1] + other[1:] if len(other) > 1 else other
-                norm = np.sqrt(inside + other * w[-1] ** 2)
-                ok = (inside > 0) & (np.sqrt(inside) >= COSINE * norm)
-                if not ok.any():
-                    continue
                 best: dict[int, tuple] = {}
-                some = np.flatnonzero(ok)
-                need = np.zeros(count + 1, bool)
-                need[some] = need[some + 1] = True
-                at, term = _block_terms(ids)
-                own = (w[term] > 0) & need[at]
-                at, term = at[own], term[own]
-                for lo in range(0, len(some), CACHED):
-                    part = some[lo : lo + CACHED]
-                    now = slice(*np.searchsorted(at, [part[0], part[-1] + 2]))
-                    first_of = np.flatnonzero(np.diff(at[now], prepend=-1))
-                    blocks_at, sums = at[now][first_of], np.add.reduceat(base[term[now]], first_of, axis=0)
-                    x = np.zeros((len(part), base.shape[1]), np.float32)
-                    for block in (part, part + 1):  # a block's sum serves both passages it is in
-                        j = np.minimum(np.searchsorted(blocks_at, block), len(blocks_at) - 1)
-                        hit = blocks_at[j] == block
-                        x[hit] += sums[j[hit]]
-                    cosine = (x / norm[part, None]) @ latent.T
-                    for a, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                        item = known.rows[k]
-                        first = part[a] * BLOCK
-                        around = ids[max(0, first - len(item)) : first + 2 * BLOCK + len(item)]
-                        kind, share = verify(item, around)
-                        if kind and (share, kind) > best.get(k, (0.0, "", 0.0))[:2]:
-                            best[k] = (share, kind, float(cosine[a, k]))
+                for passage, k in candidates(ids, images, reaches, leasts):
+                    if k in best and best[k][0] == 1.0:
+                        continue
+                    item = known.rows[k]
+                    first = passage * BLOCK
+                    around = ids[max(0, first - len(item)) : first + 2 * BLOCK + len(item)]
+                    kind, share = verify(item, around)
+                    if kind and (share, kind) > best.get(k, (0.0, "", 0.0))[:2]:
+                        best[k] = (share, kind, own_cosine(item, around, w))
                 out += [(doc_id, known.items[k][0], kind, share, c) for k, (share, kind, c) in best.items()]
             if out:
                 columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()), strict=True)

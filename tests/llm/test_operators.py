@@ -249,6 +249,45 @@ def test_decontamination_recall(spark):
     assert set(left) == {i for i, _ in docs + planted} - {i for i, _ in got}
 
 
+def test_candidates_are_all_that_verify_accepts():
+    rng = random.Random(6)
+    items = [(n, " ".join(rng.choice(WORDS[: rng.choice([30, 400])]) for _ in range(n))) for n in (1, 2, 3, 5, 15, 40, 90, 300, 700)]
+    terms = decontaminate.Terms(items)
+    counts = np.array([rng.randrange(1, 500) for _ in terms.ids])
+    texts = [""]
+    for _, x in items:
+        for drop in (0.0, 0.15, 0.35):
+            words = [w if rng.random() >= drop else f"z{rng.randrange(99)}" for w in x.split()]
+            texts.append(" ".join([rng.choice([*WORDS[:9], "zz", "yy"]) for _ in range(rng.randrange(3000))] + words + ["zz"] * rng.randrange(60)))
+    for blocks in (600, 10**9):  # the same words in a larger corpus
+        weight = np.maximum(np.log((blocks + 1) / (counts * blocks // 600 + 1)), 0.1)
+        image = np.zeros((len(terms.ids), len(items)), np.float32)
+        for k, row in enumerate(terms.rows):
+            np.add.at(image[:, k], row, weight[row] ** 2)
+        reach = np.array([-(-len(r) // decontaminate.BLOCK) for r in terms.rows])
+        least = np.array([decontaminate.least_score(weight[r]) for r in terms.rows], np.float32)
+        for text in texts:
+            ids = terms.of(text)
+            got = set(decontaminate.candidates(ids, image, reach, least))
+            for k, row in enumerate(terms.rows):
+                for p in range(max(1, -(-len(ids) // decontaminate.BLOCK) - 1)):
+                    first = p * decontaminate.BLOCK
+                    if decontaminate.verify(row, ids[max(0, first - len(row)) : first + 2 * decontaminate.BLOCK + len(row)])[0]:
+                        assert (p, k) in got
+
+
+def test_leaks_among_other_words_and_of_all_lengths(spark):
+    rng = random.Random(8)
+    usual, long, short = WORDS[:15], [f"l{k}" for k in range(600)], ["s1", "s2", "s3"]
+    rest = [f"r{k}" for k in range(40)]
+    docs = [(k, " ".join(w for _ in range(20) for w in rng.sample(usual[:15], 5) + [f"o{rng.randrange(9999)}" for _ in range(19)])) for k in range(100)]
+    around = [f"x{k}" for k in range(200)]
+    docs += [(900 + k, " ".join(around[:77] + words + around[77:])) for k, words in enumerate((usual, long, short, [w if k % 6 else "q" for k, w in enumerate(usual)]))]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((usual, long, short, rest))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+    assert {k: v for k, v in got.items() if k[0] >= 900} == {(900, 0): "copy", (901, 1): "copy", (902, 2): "copy", (903, 0): "copy"}
+
+
 def test_common_length_against_the_table():
     rng = random.Random(1)
     for _ in range(30):
