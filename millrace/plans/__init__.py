@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import relational
+from millrace.plans import aggregates, joins, python_functions, relational, scalars, sets, streams, windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES}
+_MODULES = (relational, joins, aggregates, windows, sets, scalars, python_functions, streams)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
