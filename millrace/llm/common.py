@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import shared_dir
 
 #: Spark's own setting: an execution's shuffle files are removed when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    own = os.path.join(tempfile.gettempdir(), "checkpoints", "millrace")
-    place = spark.conf.get("spark.checkpoint.dir", None) or own
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(place)
-    return place
+_folders: dict[str, SparkSession] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,22 +22,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again.
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _folders.items():
+        with contextlib.suppress(Exception):  # the session may have been stopped
+            _remove(spark, path)
+
+
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again; the application's files go when it exits, or by ``release``.
 
     Unlike a checkpoint, the files carry their measured size, so Catalyst broadcasts the table only below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it (with AQE's skew handling) above. The shuffle files behind
     them go when they are written, so that disk doesn't hold those of all steps at once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+    _folders[own] = spark
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+#: Numbers (rows, or entries of the arrays in them) that ``bounded`` lets be broadcast.
+BROADCAST = 2_000_000
+
+
+def bounded(table: DataFrame, size: str = "1") -> DataFrame:
+    """A ``stored`` table, marked for a broadcast only if the sum of ``size`` over its rows, which is counted, is at most BROADCAST."""
+    n = table.agg(F.sum(F.expr(size).cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(table) if n <= BROADCAST else table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of ``stored`` tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            _remove(df.sparkSession, path)
 
 
 def whole_text(name: str = "text") -> Column:
@@ -56,29 +82,33 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _edges_state(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    kept = cut(edges)
-    row = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
-    return kept, (row["n"], row["x"])
+def _state(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
+    return row["n"], row["x"]
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Distributed union-find: (``node``, ``root``) for every node of ``edges``, root the component's smallest node.
 
-    Alternates the large-star and small-star steps on an edge table until it no longer changes; each step
-    only joins edges to a per-node minimum, so no neighbour list is ever collected. Self loops and nulls are
-    ignored; nodes without edges don't appear. Roots themselves are returned too.
+    Alternates the large-star and small-star steps on an edge table (u > v) until it no longer changes. Each step joins the edges to a
+    stored table of a minimum per node, so no neighbour list is ever collected, and both sides of each join are plain
+    shuffles whose hot keys (the hub of a large component) AQE splits. Self loops and nulls are ignored; nodes without
+    edges don't appear. Roots themselves are returned too.
     """
-    u, v = F.greatest("u", "v"), F.least("u", "v")
-    start = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(u.alias("u"), v.alias("v")).distinct()
-    now, state = _edges_state(start)
+    u, v = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
+    now = stored(edges.where(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct(), "edges")
+    state = _state(now)
     while state[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now, after = _edges_state(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        least = stored(now.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # a node's smallest neighbour is one that is smaller than itself, if it has such a one; else the node itself is the least
+        large = now.join(least.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = stored(large.distinct(), "edges")
+        release(now, least)
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(large, least)
+        after = _state(now)
         if after == state:
             break
         state = after
