@@ -5,9 +5,11 @@ shared by all grades; ordered thresholds cut the score: P(grade >= k) = sigmoid(
 if P(grade >= 2) is at least ``KEEP``. The model is fitted on at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of
 doc_id; scoring reads every whole text.
 
-Defined cases: a null text counts as empty; labels with a null in quality count toxic alone and the reverse, rows with
-both null are left out; of several labels for a doc_id the lowest grade counts; without labelled rows of two grades
-there is no model: grades are null and everything is kept. Repeated rows are each scored.
+Defined cases: a null or empty text has the features of no words and is scored like any other; texts of any length are scored whole; labels
+with a null in quality count toxic alone and the reverse, rows with both null are left out; of several labels for a doc_id the
+lowest grade counts; of rows that share a labelled doc_id the least text is fitted on; without labelled rows of two grades
+there is no model: grades are null and everything is kept. Repeated rows are each scored. ``keep_good`` keeps all columns of the input,
+whatever their names; ``rate`` reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from millrace.llm.common import documents, whole_text
+from millrace.llm.common import documents, release, stored, whole_text
 
 TRAIN_ROWS, KEEP = 8000, 0.8
 #: Punctuation taken off words before they are hashed.
@@ -51,60 +53,55 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Ordinal:
-    """weights: DIMS floats; cuts: ascending thresholds of grades 1 and up."""
+    """names: the slots that have a weight, ascending; weights: theirs; cuts: ascending thresholds of grades 1 and up."""
 
+    names: np.ndarray
     weights: np.ndarray
     cuts: np.ndarray
 
     def tails(self, text: str) -> np.ndarray:
         """P(grade >= k) for k from 1 up."""
-        score = self.weights[features(text)].sum(dtype=np.float64)
+        own = features(text)
+        at = np.searchsorted(self.names, own)
+        at[at == len(self.names)] = 0
+        score = self.weights[at[self.names[at] == own]].sum(dtype=np.float64) if len(self.names) else 0.0
         return 1 / (1 + np.exp(-np.clip(score - self.cuts, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS) -> Ordinal | None:
-    """Full-batch Adam on the ordinal likelihood, from features and grades; None without two grades."""
-    if len(set(grades.tolist())) < 2:
-        return None
-    length = [len(r) for r in rows]
-    present, slots = np.unique(np.concatenate(rows), return_inverse=True)  # no arrays of DIMS but the weights themselves
-    support = np.bincount(slots)
-    z = np.zeros(len(present))
-    for g in range(1, GRADES):
-        high = (grades >= g).astype(float)
-        mean = np.clip(high.mean(), 1e-3, 1 - 1e-3)
-        seen = np.bincount(slots, weights=np.repeat(high, length))
-        z = np.maximum(z, (support * mean - seen) / np.sqrt(np.maximum(support, 1) * mean * (1 - mean)))
-    names = np.flatnonzero((support >= LEAST_DOCS) & (z >= LEAST_Z))
-    compact = np.full(len(present), -1, np.int32)
-    compact[names] = np.arange(len(names))
-    row = np.repeat(np.arange(len(rows)), length)
-    used = compact[slots] >= 0
-    col, row = compact[slots[used]], row[used]
-    n, k = len(rows), GRADES - 1
-    w = np.zeros(len(names))
+def cuts_of(t: np.ndarray) -> np.ndarray:
+    """Ascending thresholds of free numbers: the first, and the logarithms of the steps between them."""
+    return np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))])
+
+
+def slope(w: np.ndarray, t: np.ndarray, row: np.ndarray, col: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log likelihood of ``grades`` and its gradient by ``w`` and ``t``; document row[i] has feature col[i]."""
+    n, k = len(grades), len(t)
+    score = np.bincount(row, weights=w[col], minlength=n)
+    p = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts_of(t), -40, 40)))  # P(grade >= 1 and up)
+    edge = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
+    own = np.maximum(edge[np.arange(n), grades] - edge[np.arange(n), grades + 1], 1e-12)
+    steep = p * (1 - p) / own[:, None]
+    level = np.arange(1, k + 1)[None, :]
+    touch = (np.where(level == grades[:, None] + 1, steep, 0) - np.where(level == grades[:, None], steep, 0)) / n
+    by_cut = -touch.sum(axis=0)
+    by_t = np.concatenate([[by_cut.sum()], [by_cut[j:].sum() * np.exp(t[j]) for j in range(1, k)]])
+    return float(-np.log(own).mean()), np.bincount(col, weights=touch.sum(axis=1)[row], minlength=len(w)), by_t
+
+
+def fit(names: np.ndarray, row: np.ndarray, col: np.ndarray, grades: np.ndarray, steps: int = STEPS) -> Ordinal:
+    """Full-batch Adam on the ordinal likelihood; document row[i] has the slot names[col[i]]."""
+    w, k = np.zeros(len(names)), GRADES - 1
     share = np.array([np.clip((grades >= g).mean(), 1e-3, 1 - 1e-3) for g in range(1, GRADES)])
-    t = np.concatenate([[-np.log(share[0] / (1 - share[0]))], np.log(np.maximum(1e-3, np.diff(-np.log(share / (1 - share)))))])
+    start = -np.log(share / (1 - share))
+    t = np.concatenate([start[:1], np.log(np.maximum(1e-3, np.diff(start)))])
     m1, m2 = np.zeros(len(w) + k), np.zeros(len(w) + k)
-    above = np.arange(k)[None, :] < grades[:, None]
     for step in range(1, steps + 1):
-        cuts = np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))])
-        score = np.bincount(row, weights=w[col], minlength=n)
-        p = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -40, 40)))
-        edge = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], axis=1)
-        own = np.maximum(edge[np.arange(n), grades] - edge[np.arange(n), grades + 1], 1e-12)
-        slope = p * (1 - p) / own[:, None]
-        touch = np.where(above & (np.arange(k)[None, :] == grades[:, None] - 1), -slope, 0) + np.where(np.arange(k)[None, :] == grades[:, None], slope, 0)
-        by_score = touch.sum(axis=1) / n  # of the negative log likelihood
-        by_cut = -touch.sum(axis=0) / n
-        by_t = np.concatenate([[by_cut.sum()], [by_cut[j:].sum() * np.exp(t[j]) for j in range(1, k)]])
-        g = np.concatenate([np.bincount(col, weights=by_score[row], minlength=len(w)) + RIDGE * w, by_t])
+        _, by_w, by_t = slope(w, t, row, col, grades)
+        g = np.concatenate([by_w + RIDGE * w, by_t])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, t = np.minimum(w - move[: len(w)], 0), t - move[len(w) :]
-    weights = np.zeros(DIMS, np.float32)
-    weights[present[names]] = w
-    return Ordinal(weights, np.concatenate([t[:1], t[0] + np.cumsum(np.exp(t[1:]))]))
+    return Ordinal(names.astype(np.int32), w.astype(np.float32), cuts_of(t))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -113,19 +110,39 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Ordinal | None:
-    """The model of at most ``most`` labelled documents; ``most`` bounds what is broadcast and collected."""
+    """The model of at most ``most`` labelled documents.
+
+    Features are counted and chosen on the executors; the driver gets the grades and the chosen features of the sample's
+    documents. Of rows that share a doc_id the least text is taken.
+    """
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     slots = F.pandas_udf(lambda s: s.map(features), "array<int>")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = read.join(F.broadcast(chosen), "doc_id").select("grade", slots("text").alias("f")).limit(2 * most).toPandas()
-    return fit([np.asarray(x) for x in rows["f"]], rows["grade"].to_numpy(np.int64)) if len(rows) else None
+    rows = read.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    sample = stored(rows.select("doc_id", "grade", slots("text").alias("f")), "sample")
+    have = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a grade
+    if len(have) < 2:
+        release(sample)
+        return None
+    total = sum(have.values())
+    each = sample.select("doc_id", "grade", F.explode("f").alias("slot"))
+    high = {g: F.sum((F.col("grade") >= g).cast("long")).alias(f"high{g}") for g in range(1, GRADES)}
+    counted = each.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), *high.values()).where(F.col("n") >= LEAST_DOCS)
+    means = {g: min(max(sum(n for k, n in have.items() if k >= g) / total, 1e-3), 1 - 1e-3) for g in high}
+    z = [(F.col("n") * m - F.col(f"high{g}")) / F.sqrt(F.col("n") * (m * (1 - m))) for g, m in means.items()]
+    picked = each.join(counted.where(F.greatest(*z) >= LEAST_Z).select("slot"), "slot").select("doc_id", "slot").toArrow()
+    graded_docs = sample.select("doc_id", "grade").toArrow()
+    release(sample)
+    ids, order = np.unique(graded_docs["doc_id"].to_numpy(), return_index=True)
+    names, col = np.unique(picked["slot"].to_numpy(), return_inverse=True)
+    return fit(names, np.searchsorted(ids, picked["doc_id"].to_numpy()), col, graded_docs["grade"].to_numpy()[order].astype(np.int64))
 
 
 def scored(spark: SparkSession, model: Ordinal | None) -> Column:
     """A struct of expected_grade, p_clean and keep, of the column ``text``."""
     if model is None:
         return F.struct(F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("p_clean"), F.lit(True).alias("keep"))
-    shared = spark.sparkContext.broadcast(model)  # DIMS floats
+    shared = spark.sparkContext.broadcast(model)  # the weights of the chosen features
 
     def run(s: pd.Series) -> pd.DataFrame:
         tails = np.array([shared.value.tails(x) for x in s]).reshape(-1, GRADES - 1)
