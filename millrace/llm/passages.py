@@ -3,14 +3,16 @@
 A window is ``WINDOW`` consecutive words. Its anchor is the least of its ``PHRASE``-word phrases by hash, so equal windows
 have equal anchors. Anchors are counted over all documents; those that recur are owned by the first document that has them.
 Stretches of windows with recurring anchors go to the shard of the anchor's owner. There the owner's phrases are compiled
-into an Aho-Corasick automaton and every stretch is streamed through it; where a phrase stands, the windows around it are
-compared with the owner's windows. A window that the owner has is a repeat. The few others are grouped by two 64-bit hashes
-to find whether they start earlier in another document. A shard with many stretches is dealt over salted groups that
+into an Aho-Corasick automaton and every stretch is streamed through it; each window that holds a phrase the automaton finds is
+looked up among the owner's windows, word for word. A window that the owner has is a repeat. The few others are grouped by two 64-bit
+hashes to find whether they start earlier in another document. A shard with many stretches is dealt over salted groups that
 each get the owner's phrases, so a passage that a third of all documents share makes many groups of bounded size.
+Documents without a recurring anchor, and exact copies, aren't streamed: no window of theirs can be decided by that.
 
 Defined cases: a null text counts as having no words; texts under a window long lose nothing; exact copies of a text
-(by MD5) are repeats of the smallest doc_id and skip the search; rows that share doc_id and text are one document; rows
-with a null doc_id lose nothing; an empty table gives an empty result; other columns are not read.
+(by MD5) are repeats of the smallest doc_id and skip the search; rows that share doc_id and text are one document; rows that share the
+doc_id alone are documents of their own, in the order of a hash of the text; rows with a null doc_id lose nothing; texts of any length,
+of one repeated word too, take time in proportion to it; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from millrace.llm.common import cut, documents, stored, whole_text
+from millrace.llm.common import documents, release, stored, whole_text
 
 WINDOW, PHRASE = 20, 8
 #: Bytes of stretches that a salted group gets on average, and recurring phrases of a shard.
@@ -127,57 +129,54 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FOUND = "doc_id long, first long, last long, w1 long, w2 long"
 
 
+def _offsets(text: bytes) -> np.ndarray:
+    """Where each word of ``text`` (words joined by one space) begins, and its end plus one."""
+    return np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1, [len(text) + 1]])
+
+
 def _lookup(group: pd.DataFrame) -> pd.DataFrame:
-    """Ranges of window starts that an owner has (w1 null), and single windows that it hasn't (w1, w2 their hashes)."""
-    machine, w1, w2, w3, docs, starts = ahocorasick.Automaton(), [], [], [], [], []
+    """Ranges of window starts that an owner has (w1 null), and single windows that it hasn't (w1, w2 their hashes).
+
+    The owners' phrases are compiled into an automaton, and the first place of each of their windows is kept by its words. The automaton
+    goes through every stretch, and each window that holds a phrase it has found is looked up by its words.
+    """
+    machine = ahocorasick.Automaton()
+    first: dict[bytes, tuple[int, int]] = {}
     for r in group[group.role == 0].itertuples():
-        own = Words(r.words.encode().split())
+        text = r.words.encode()
+        own, at = Words(text.split()), _offsets(text).tolist()
         for i in own.anchors.tolist():
-            phrase = f" {b' '.join(own.words[i : i + PHRASE]).decode()} "
-            machine.add_word(phrase, len(phrase))
-        a, b = own.windows()
-        w1.append(a)
-        w2.append(b)
-        docs.append(np.full(len(a), r.doc_id))
-        starts.append(np.arange(len(a)) + r.start)
+            machine.add_word(f" {text[at[i] : at[i + PHRASE] - 1].decode()} ", PHRASE)
+        for i in range(len(own.least)):
+            place = (r.doc_id, r.start + i)
+            window = text[at[i] : at[i + WINDOW] - 1]
+            if place < first.get(window, (place[0], place[1] + 1)):
+                first[window] = place
     if not len(machine):
         return pd.DataFrame(columns=["doc_id", "first", "last", "w1", "w2"])
     machine.make_automaton()
-    w1, w2, docs, starts = (np.concatenate(x) for x in (w1, w2, docs, starts))
-    order = np.lexsort((starts, docs, w2, w1))  # the first of equal windows stands first
-    w1, w2, docs, starts = (x[order] for x in (w1, w2, docs, starts))
     out = []
     for r in group[group.role == 1].itertuples():
-        own = Words(r.words.encode().split())
-        text = f" {r.words} "
-        lengths = np.fromiter(map(len, r.words.split(" ")), np.int64, len(own.words))
-        spaces = np.concatenate([[0], np.cumsum(lengths + 1)])
-        ends = np.array([(end - size + 1) for end, size in machine.iter(text)], np.int64)
-        there = np.zeros(len(own.phrases), bool)
-        there[np.searchsorted(spaces, ends)] = True
-        # windows with an anchor at a place where the automaton found a phrase
-        a, b = own.windows()
-        near = np.zeros(len(a), bool)
-        for i in own.anchors[there[own.anchors]].tolist():
-            lo, hi = max(0, i - (WINDOW - PHRASE)), i + 1
-            near[lo:hi] |= own.least[lo:hi] == own.phrases[i]
-        k = np.searchsorted(w1, a)
-        same = np.zeros(len(a), bool)
-        step = 0
-        while True:  # equal first hashes stand together; the second decides
-            at = np.minimum(k + step, len(w1) - 1)
-            alike = (w1[at] == a) & (k + step < len(w1))
-            if not alike.any():
-                break
-            earlier = (docs[at] < r.doc_id) | ((docs[at] == r.doc_id) & (starts[at] < r.start + np.arange(len(a))))
-            fresh = alike & (w2[at] == b) & earlier & near & ~same
-            same |= fresh
-            step += 1
-            if step > 1 and not (alike & (w2[at] != b)).any() and not (alike & ~earlier).any():
-                break
+        text = r.words.encode()
+        own, at = Words(text.split()), _offsets(text)
+        padded = f" {r.words} "
+        ends = np.fromiter((end for end, _ in machine.iter(padded)), np.int64)  # at the space behind a phrase
+        # spaces[k]: the space before word k, in characters
+        spaces = np.concatenate([[0], np.cumsum(np.fromiter(map(len, r.words.split(" ")), np.int64, len(own.words)) + 1)])
+        behind = np.searchsorted(spaces, ends)  # the word behind each phrase
+        holds = np.zeros(len(own.words) + 2, np.int64)  # windows that hold a phrase, as steps up and down
+        np.add.at(holds, np.maximum(behind - WINDOW, 0), 1)
+        np.add.at(holds, behind - PHRASE + 1, -1)
+        size = len(own.least)
+        near = np.flatnonzero(np.cumsum(holds)[:size] > 0)
+        same = np.zeros(size, bool)
+        for i in near.tolist():
+            found = first.get(text[at[i] : at[i + WINDOW] - 1])
+            same[i] = found is not None and found < (r.doc_id, r.start + i)
         out += [(r.doc_id, r.start + x, r.start + y, None, None) for x, y in _ranges(np.flatnonzero(same))]
         if r.doc_id != getattr(r, "owner"):
             rest = np.flatnonzero(~same)
+            a, b = own.windows()
             out += zip([r.doc_id] * len(rest), (r.start + rest).tolist(), (r.start + rest).tolist(), a[rest].view(np.int64).tolist(), b[rest].view(np.int64).tolist(), strict=True)
     frame = pd.DataFrame(out, columns=["doc_id", "first", "last", "w1", "w2"])
     return frame.astype({"w1": "Int64", "w2": "Int64"})
@@ -187,23 +186,35 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id and ``ranges``, the (first, last) starts of its windows that start earlier elsewhere; ``docs``: doc_id, text, distinct texts."""
     anchors = docs.mapInArrow(_anchors, "h long, doc_id long, again boolean")
     recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("any"))
-    recurring = recurring.where("n > 1 or any").select("h", "owner")
-    hits = anchors.join(recurring, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "owner", "again")).alias("x"))
+    recurring = stored(recurring.where("n > 1 or any").select("h", "owner"), "recurring")  # as a table, so that AQE can split a hot phrase's join
+    hits = anchors.join(recurring, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "owner", "again")).alias("x"))
     wide = docs.join(hits, "doc_id").select("doc_id", "text", "x.h", "x.owner", "x.again")
-    parts = cut(wide.mapInArrow(_stretches, "owner long, doc_id long, role int, start long, words string"))
+    stretches = stored(wide.mapInArrow(_stretches, "owner long, doc_id long, role int, start long, words string"), "stretches")
+    release(recurring)
     size = F.sum(F.length("words"))
-    shards = max(1, -(-(parts.where("role = 0").agg(size.alias("n")).first()["n"] or 0) // (50 * SHARD_PHRASES)))
-    parts = parts.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
+    shards = max(1, -(-(stretches.where("role = 0").agg(size.alias("n")).first()["n"] or 0) // (50 * SHARD_PHRASES)))
+    parts = stretches.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
     salts = stored(parts.where("role = 1").groupBy("shard").agg(F.ceil(size / GROUP_BYTES).alias("salts")), "salts")
     salted = parts.join(salts, "shard")
     salt = F.when(F.col("role") == 0, F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts"))))
-    found = cut(salted.withColumn("salt", F.explode(salt)).groupBy("shard", "salt").applyInPandas(_lookup, FOUND))
+    dealt = salted.withColumn("salt", F.explode(salt))
+    found = stored(dealt.groupBy("shard", "salt").applyInPandas(_lookup, FOUND), "found")
+    release(stretches, salts)
     odd = found.where("w1 is not null")
     least = odd.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "first")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     late = odd.join(least, ["w1", "w2"]).where("doc_id <> f.doc_id or first <> f.first").select("doc_id", "first", "last")
     return found.where("w1 is null").select("doc_id", "first", "last").unionByName(late).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 
+def numbered(keys: DataFrame) -> DataFrame:
+    """``keys`` (doc_id, th) with id, their number in the order of doc_id, then th; the counts of the sorted ranges are a row each."""
+    dealt = keys.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+    ranged = stored(dealt.select("doc_id", "th", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("no")), "ranged")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.alias("s").join(sizes.alias("o"), F.expr("o.part < s.part"), "left").groupBy("s.part").agg(F.coalesce(F.sum("o.n"), F.lit(0)).alias("base"))
+    return ranged.join(F.broadcast(before), "part").select("doc_id", "th", (F.col("base") + F.col("no")).alias("id"))
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         totals, gone, hashes, texts = [], [], [], []
@@ -224,14 +235,25 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 and kept, the words that stay."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    named = read.where("doc_id is not null").select("doc_id", F.md5("text").alias("key"))
-    first = named.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = stored(named.join(first, "key").where("doc_id <> first").select("doc_id").distinct(), "copies")
-    own = read.where("doc_id is not null").join(copies, "doc_id", "left_anti")
-    ranges = stored(repeats(own).unionByName(copies.select("doc_id", F.lit(None).cast("array<struct<first:long,last:long>>").alias("ranges"))), "ranges")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("th", F.xxhash64("text"))
+    pairs = read.where("doc_id is not null").select("doc_id", "th")
+    rows = pairs.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("z"), F.count(F.lit(1)).alias("n"))
+    odd = rows.agg(F.bool_or(F.expr("a <> z")).alias("shared"), F.bool_or(F.expr("n > 1")).alias("repeated")).first()
+    if odd["shared"]:  # different texts of one doc_id: documents of their own, so they get numbers of their own in the same order
+        read = read.join(stored(numbered(pairs.distinct()), "numbered"), ["doc_id", "th"], "left")
+    else:
+        read = read.withColumn("id", F.col("doc_id"))
+    named = read.where("id is not null").select("id", F.md5("text").alias("key"))
+    first = stored(named.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
+    copies = stored(named.join(first, "key").where("id <> first").select("id").distinct(), "copies")
+    own = read.where("id is not null").join(copies, "id", "left_anti").select(F.col("id").alias("doc_id"), "text")
+    if odd["repeated"]:
+        own = own.distinct()
+    found = repeats(own).withColumnRenamed("doc_id", "id")
+    ranges = stored(found.unionByName(copies.select("id", F.lit(None).cast("array<struct<first:long,last:long>>").alias("ranges"))), "ranges")
+    release(first, copies)
     marked = ranges.withColumn("copy", F.col("ranges").isNull())
-    joined = read.join(marked, "doc_id", "left")
+    joined = read.join(marked, "id", "left")
     return joined.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
