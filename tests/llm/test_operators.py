@@ -134,6 +134,45 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == want and gone
 
 
+def test_line_dedup_of_odd_rows(spark):
+    a, b, c = ("first line of some length", "second line, another text", "third and last line of these")
+    long = " ".join(WORDS * 60)
+    rows = [(5, f"{a}\n{b}"), (5, f"{c}\n{a}"), (6, b), (6, b), (7, f"\t{c.upper()}  \n\nab\nab"), (8, long), (9, long + " more"), (None, a), (10, None), (11, "")]
+    docs = frame(spark, rows).withColumns({x: F.lit(x) for x in ("gone", "th", "row", "pos", "line", "h1", "key", "n_lines")})
+    got = lines.drop_lines(docs)
+    assert got.columns == [*docs.columns, "n_removed"]
+    text = defaultdict(list)
+    for r in got.collect():
+        assert r["gone"] == "gone" and r["n_lines"] == len((dict_text(rows, r) or "").split("\n")) - 0
+        text[r["doc_id"]].append(r["text"])
+    assert sorted("\n".join(text[5]).split("\n")) == sorted([a, b, c])  # of two texts with one doc_id each line is left once
+    assert text[6] == ["", ""] and text[7] == ["\nab"] and text[8] == [long] and text[9] == [""] and text[None] == [a] and text[10] == [None] and text[11] == [""]
+
+
+def dict_text(rows, r):
+    """The text that a row had: by its number of lines, where a doc_id has several."""
+    own = [t for i, t in rows if i == r["doc_id"]]
+    return next(t for t in own if len((t or "").split("\n")) == r["n_lines"])
+
+
+def test_bands_find_similar_lines_and_split_large_buckets(spark):
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    docs = [(0, " ".join(base))]
+    for k in range(1, 150):  # near copies of one line, more than SMALL, some too far from the centre
+        docs.append((k, " ".join(f"q{rng.randrange(10**6)}" if rng.random() < rng.choice([0.01, 0.03, 0.08]) else w for w in base)))
+    sets = {t: {t[j : j + 8] for j in range(len(t) - 7)} for _, t in docs}
+    keys = sorted(sets)
+    alike = [(x, y) for k, x in enumerate(keys) for y in keys[k + 1 :] if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])]
+    root = groups(alike, keys)
+    first = {}
+    for i, t in docs:
+        first.setdefault(root[t], i)
+    want = {i for i, t in docs if first[root[t]] != i}
+    got = {r["doc_id"] for r in lines.drop_lines(frame(spark, docs)).where("n_removed > 0").collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 50
+
+
 def test_fingerprints_and_next_documents(spark):
     rows = [r for r in DOCS[:50]] + [(900, None), (901, ""), (902, "x"), (903, DOCS[3][1])]
     got = {r["doc_id"]: r for r in parsing.fingerprint_docs(frame(spark, rows)).collect()}
@@ -197,6 +236,20 @@ def test_substring_dedup_against_brute_force(spark):
             assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
 
 
+def test_substring_dedup_of_odd_rows(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    rows = [(0, x), (1, x), (1, y), (1, y), (2, f"{z} {y}"), (3, "one " * 60_000)]
+    docs = frame(spark, rows).withColumns({c: F.lit(1) for c in ("id", "th", "key", "ranges", "h", "owner", "copy")})
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in passages.drop_repeats(docs).collect())
+    assert got == sorted([(0, 30, 0, x), (1, 30, 30, ""), (1, 30, 0, y), (1, 30, 0, y), (2, 60, 30, z), (3, 60_000, 59_999, "one")])
+
+
+def test_numbers_follow_the_order_of_ids(spark):
+    keys = [(i, t) for i in (-5, 3, 900) for t in (7, -2, 40)]
+    got = passages.numbered(spark.createDataFrame(keys, "doc_id long, th long")).orderBy("id").collect()
+    assert [(r["doc_id"], r["th"]) for r in got] == sorted(keys) and [r["id"] for r in got] == list(range(9))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_agrees_with_its_sql(spark, name):
     db = duckdb.connect()
@@ -225,11 +278,12 @@ def test_url_intervals(spark):
 
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
-    rows = sql(f"SELECT text, CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) ORDER BY hash(doc_id)")
-    slots, grades = [quality.features(t) for t, _ in rows], np.array([g for _, g in rows])
-    model = quality.fit(slots[:2500], grades[:2500])
-    kept = np.array([model.tails(t)[-1] >= quality.KEEP for t, _ in rows[2500:]])
-    share = [kept[grades[2500:] == g].mean() for g in range(3)]
+    rows = sql(f"SELECT doc_id, text, quality, toxic, CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) ORDER BY hash(doc_id)")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows[:2500]], "doc_id long, quality int, toxic int")
+    model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), labels)
+    grades = np.array([r[4] for r in rows[2500:]])
+    kept = np.array([model.tails(r[1])[-1] >= quality.KEEP for r in rows[2500:]])
+    share = [kept[grades == g].mean() for g in range(3)]
     assert share[0] < 0.05 and share[1] < 0.3 and share[2] > 0.95
     assert (np.diff(model.cuts) > 0).all()
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
@@ -237,6 +291,40 @@ def test_quality_on_held_out_labels(spark):
     assert quality.rate(frame(spark, edge_docs()), labels.where("false")).where("keep").count() == len(edge_docs())
 
 
+def test_quality_slope_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    row, col = np.repeat(np.arange(40), 5), rng.integers(0, 12, 200)
+    grades, w, t = rng.integers(0, 3, 40), rng.normal(size=12), np.array([-0.4, 0.2])
+
+    def loss(w, t):  # by hand: P(grade >= k) = sigmoid(score - cut)
+        score = [sum(w[c] for r, c in zip(row, col) if r == i) for i in range(40)]
+        cuts = [t[0], t[0] + np.exp(t[1])]
+        tail = lambda s, k: 1.0 if k == 0 else 0.0 if k == 3 else 1 / (1 + np.exp(cuts[k - 1] - s))
+        return -np.mean([np.log(tail(s, g) - tail(s, g + 1)) for s, g in zip(score, grades)])
+
+    value, by_w, by_t = quality.slope(w, t, row, col, grades)
+    assert abs(value - loss(w, t)) < 1e-9
+    for k in range(12):
+        step = np.eye(12)[k] * 1e-6
+        assert abs((loss(w + step, t) - loss(w - step, t)) / 2e-6 - by_w[k]) < 1e-6
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-6
+        assert abs((loss(w, t + step) - loss(w, t - step)) / 2e-6 - by_t[k]) < 1e-6
+
+
+def test_quality_of_odd_labels_and_columns(spark):
+    clean, junk = "a plain and readable text about rivers and hills", "buy now | buy now | buy now | click | click"
+    rows = [(k, f"{clean} {k}" if k % 2 else f"{junk} {k}") for k in range(400)] + [(900, None), (901, ""), (902, (junk + " ") * 5000), (1, clean), (None, clean)]
+    docs = frame(spark, rows).withColumns({c: F.lit(c) for c in ("grade", "f", "slot", "keep", "s", "n")})
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(400)] + [(1, 1, 1), (3, None, 1), (5, None, None), (None, 0, 0), (7, 1, None)], "doc_id long, quality int, toxic int")
+    got = quality.rate(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["expected_grade"] <= 2 and 0 <= r["p_clean"] <= 1 for r in got)
+    mean = {k: np.mean([r["expected_grade"] for r in got if r["doc_id"] is not None and r["doc_id"] < 400 and r["doc_id"] % 2 == k]) for k in (0, 1)}
+    assert mean[0] < mean[1] - 0.5
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.where("keep = 'keep'").count() == kept.count() == sum(r["keep"] for r in got)
+
+
 def test_decontamination_recall(spark):
     docs, items = sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'"), sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'")
     planted = [(5000, "clean words before " + items[0][1].replace(",", "").upper() + " and after"), (5001, None), (None, items[1][1])]
