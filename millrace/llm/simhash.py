@@ -7,8 +7,9 @@ forest of its links, not all of them, so a large group of near copies stays line
 distributed union-find over those links.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
-texts of under four words have one shingle, the whole sequence; repeated rows and rows that share a doc_id are each
-returned; rows with a null doc_id take part in no component and get a null one; an empty table gives an empty result.
+texts of under four words have one shingle, the whole sequence; texts of any length are read whole; repeated rows and rows that share a
+doc_id are each returned, with the component of their own text; rows with a null doc_id take part in no component and get a null one;
+an empty table gives an empty result; other columns are not read, and ``one_of_each`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm.common import components, cut, documents, whole_text
+from millrace.llm.common import components, cut, documents, release, stored, whole_text
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints a tile holds on average, and hashes whose bits are counted at a time.
@@ -49,14 +50,15 @@ def fingerprint(text: str, k: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+    """doc_id, fp (the fingerprint's bits as a signed long) and th (a hash of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "th"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return read.withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, th long")
 
 
 def spanning_links(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,22 +114,35 @@ def near_links(points: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    prints = cut(fingerprints(docs))
+def _grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp and component_id of every row, and th, a hash of its text."""
+    prints = stored(fingerprints(docs), "prints")
     first = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"))
     found = components(near_links(prints.where("doc_id is not null"), radius), "a", "b")
-    member = first.join(found, first.fp == found.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("doc").alias("component_id"))
-    of = member.join(least, "root").select("fp", "component_id")
+    member = stored(first.join(found, first.fp == found.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "member")
+    least = stored(member.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
+    of = stored(member.join(least, "root").select("fp", "component_id"), "of")
+    release(member, least)
     owned = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), owned)
+    return prints.join(of, "fp", "left").select("doc_id", "fp", "th", owned)
+
+
+def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    return _grouped(docs, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row left of each group: of those with the smallest doc_id the one whose text has the least hash.
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row left of each group: that of the smallest doc_id. Rows without doc_id stay."""
-    keep = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long") == keep["__id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    Of rows that share doc_id and text one stays. Rows without doc_id all stay.
+    """
+    groups = _grouped(docs, radius).where("doc_id is not null").groupBy("component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    keep = stored(groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "th", "n")).alias("k")).select("k.*"), "keep")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("th"))
+    left = own.join(keep, ["doc_id", "th"])
+    once = left.where("n = 1").select("row").unionByName(left.where("n > 1").groupBy("doc_id", "th").agg(F.first("row").alias("row")).select("row"))
+    return once.unionByName(own.where("doc_id is null").select("row")).select("row.*")
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
