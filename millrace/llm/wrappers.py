@@ -3,16 +3,18 @@
 A page is a stream of block tags (with class, id and role) and text slots. Repeats in a stream are folded into repeated groups;
 the distinct folded streams of a host are aligned one after the other, level by level, and each element that doesn't match becomes a
 repeat of what stands beside it or an optional group. The result is the host's wrapper. Its slots are told apart by where they stand: slots inside
-an article (or the main part, or else the body) are main text unless menus, headers, footers, sidebars, notices, adverts, forms
+an article (or the main part, or else the page) are main text unless menus, headers, footers, sidebars, notices, adverts, forms
 or comments hold them. A page's text is what its tokens put into its host's main slots, those of the best rank (RANKS) that
-the page has text in.
+the page has text in. Where a page has neither article nor main part, a slot's text that more than half of the host's different pages of
+that kind (three at least) have at the same place is part of the wrapper, not of the text, unless nothing else would be left.
 
-Only distinct folded streams are shuffled, first dealt by a hash of the stream, so a host with a third of all pages merges
-in many tasks. The wrappers are a stored table that Catalyst broadcasts only if its measured size allows it.
+Only distinct folded streams are shuffled, dealt by a hash of the stream into groups of about PART, and the groups' wrappers are merged FAN
+at a time, so a host with a third of all pages merges in many tasks, a tree of them. The wrappers are a stored table that Catalyst
+broadcasts only if its measured size allows it.
 
 Defined cases: null html has the empty text and 0 characters; a null url counts as the host ""; broken markup, cut off or unclosed,
-is read as far as it goes; a page without main slots has the empty text; repeated rows are each returned; long pages
-are read whole; an empty table gives an empty result; other columns are not read.
+is read as far as it goes; html and body tags may be missing; a page without main slots has the empty text; repeated rows are each
+returned, and equal pages of a host count once; long pages are read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from millrace.llm.common import documents, stored
+from millrace.llm.common import documents, release, stored
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style|noscript|template|svg|iframe|textarea|select|title|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -53,7 +56,9 @@ MAIN_WORDS = set("article content entry post story main".split())
 NOT_OTHER = set("has have is no not with without".split())
 #: What holds main text, best first; "beside" is an article or main part within an element that is other by its class or id.
 RANKS = ("article", "main", "beside", "")
-LONGEST_REPEAT, DEALT = 8, 16
+LONGEST_REPEAT = 8
+#: Streams of a group on average, and wrappers merged at a time.
+PART, FAN = 64, 16
 
 
 def key_of(name: str, attributes: str) -> str:
@@ -263,7 +268,7 @@ def main_slots(wrapper: Wrapper) -> list[list[str]]:
                 roles = [r for k, r in zip(stack, roles, strict=True) if not (k.partition(".")[0] == "header" and re.match("h[1-6]", stack[-1]))]
             if held and "word" in roles and min(map(roles.index, {"article", "main"} & set(roles))) > max(k for k, r in enumerate(roles) if r == "word"):
                 held, roles = "beside", [r for r in roles if r != "word"]
-            if not {"other", "word"} & set(roles) and "body" in {k.partition(".")[0] for k in stack} | ({"body"} if held else set()):
+            if not {"other", "word"} & set(roles):
                 found["/".join(stack)] = RANKS.index(held)
         elif token[1] != "/":
             stack.append(token[1:-1])
@@ -272,22 +277,74 @@ def main_slots(wrapper: Wrapper) -> list[list[str]]:
     return [sorted(p for p, r in found.items() if r == rank) for rank in range(len(RANKS))]
 
 
-def main_text(page: str, slots: dict[str, int]) -> str:
-    """The text in those of ``slots`` (path, rank) that have the page's best rank: references decoded, white space as one space, blocks joined by one space."""
+def main_blocks(page: str, slots: dict[str, int]) -> tuple[int | None, list[tuple[str, str]]]:
+    """The page's best rank, and the path and text of each block in those of ``slots`` (path, rank) that have it.
+
+    References are decoded, and white space is one space.
+    """
     parts = list(read(page))
     best = min((slots[where] for kind, where, text in parts if kind == "text" and where in slots and html.unescape(text).strip()), default=None)
-    blocks, now, last = [], [], None
+    blocks: list[tuple[str, str]] = []
+    now: list[str] = []
+    last = ""
+
+    def close() -> None:
+        if text := " ".join(html.unescape("".join(now)).split()):
+            blocks.append((last, text))
+        now.clear()
+
     for kind, where, text in parts:
         if kind == "text" and slots.get(where, -1) == best:
             if where != last:
-                blocks.append("".join(now))
-                now, last = [], where
+                close()
+                last = where
             now.append(text)
         elif kind != "text":
-            blocks.append("".join(now))
-            now, last = [], None
-    blocks.append("".join(now))
-    return " ".join(x for b in blocks if (x := " ".join(html.unescape(b).split())))
+            close()
+    close()
+    return best, blocks
+
+
+def place_hash(path: str, text: str) -> int:
+    """Of a text at a place, as a signed number of 64 bits."""
+    return xxh3_64_intdigest(f"{path}\0{text}".encode()) - (1 << 63)
+
+
+def main_text(page: str, slots: dict[str, int], common: frozenset[int] = frozenset()) -> str:
+    """The blocks' texts joined by one space, without those in ``common`` (place_hash) if others are left."""
+    best, blocks = main_blocks(page, slots)
+    if common and best == len(RANKS) - 1:
+        blocks = [b for b in blocks if place_hash(*b) not in common] or blocks
+    return " ".join(text for _, text in blocks)
+
+
+def _ranks(slots: list[list[str]] | None) -> dict[str, int]:
+    return {path: rank for rank, paths in enumerate(slots or ()) for path in paths}
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, page (a hash of the html) and place (place_hash) of each block of pages without article or main part; place null once a page."""
+    for batch in batches:
+        found = set()
+        for host, page, slots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            best, blocks = main_blocks(page, _ranks(slots))
+            if best == len(RANKS) - 1:
+                own = xxh3_64_intdigest(page.encode()) - (1 << 63)
+                found |= {(host, own, place_hash(*b)) for b in blocks} | {(host, own, None)}
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "page", "place"])
+
+
+def common_places(pages: DataFrame) -> DataFrame:
+    """host and common, the place_hashes that are part of its wrapper; ``pages``: host, html, slots.
+
+    A page has few such texts on average, so ``common`` is no longer than twice a page's blocks.
+    """
+    plain = pages.where(F.size(F.get("slots", F.lit(len(RANKS) - 1))) > 0).select("host", "html", "slots")
+    counted = stored(plain.mapInArrow(_places, "host string, page long, place long").distinct().groupBy("host", "place").agg(F.count(F.lit(1)).alias("n")), "places")
+    every = counted.where("place is null").select("host", F.col("n").alias("pages"))
+    usual = counted.where("place is not null and n >= 3").join(every, "host").where("2 * n > pages")
+    return usual.groupBy("host").agg(F.collect_set("place").alias("common"))
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,15 +359,23 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
     for x in sorted(set(group["wrapper"]), key=lambda x: (-len(x), x)):
         items = json.loads(x)
         wrapper = items if wrapper is None else align(wrapper, items)
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(wrapper)]})
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "part": [group["part"].iloc[0]], "wrapper": [json.dumps(wrapper)]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON) of all hosts of ``pages`` (host, html)."""
-    distinct = pages.mapInArrow(_streams, "host string, stream string").distinct().withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(DEALT)))
-    first = lambda g: pd.DataFrame({"host": [g["host"].iloc[0]], "wrapper": [json.dumps(infer(list(g["stream"])))]})
-    parts = distinct.groupBy("host", "part").applyInPandas(first, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(_merge, "host string, wrapper string")
+    distinct = stored(pages.mapInArrow(_streams, "host string, stream string").distinct(), "streams")
+    sizes = stored(distinct.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")), "sizes")
+    most = sizes.agg(F.max("parts").alias("n")).first()["n"] or 0
+    first = lambda g: pd.DataFrame({"host": [g["host"].iloc[0]], "part": [g["part"].iloc[0]], "wrapper": [json.dumps(infer(list(g["stream"])))]})
+    dealt = distinct.join(sizes, "host").select("host", "stream", F.pmod(F.xxhash64("stream"), "parts").alias("part"))
+    now = stored(dealt.groupBy("host", "part").applyInPandas(first, "host string, part long, wrapper string"), "wrappers")
+    release(distinct, sizes)
+    while most > 1:
+        most = -(-most // FAN)
+        merged = now.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("host", "part").applyInPandas(_merge, "host string, part long, wrapper string")
+        now = stored(merged, "wrappers")
+    return now.select("host", "wrapper")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -318,14 +383,16 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     own = pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     slots = F.pandas_udf(lambda s: s.map(lambda x: main_slots(json.loads(x))), "array<array<string>>")
-    known = stored(wrappers(own.select("host", "html")).select("host", slots("wrapper").alias("slots")), "wrappers")
+    known = stored(wrappers(own.select("host", "html")).select("host", slots("wrapper").alias("slots")), "slots")
+    common = common_places(own.join(known, "host", "left"))
+    known = stored(known.join(common, "host", "left"), "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, {p: rank for rank, paths in enumerate(s or ()) for p in paths}) for page, s in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True)]
+            texts = [main_text(page, _ranks(s), frozenset(c or ())) for page, s, c in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = own.join(known, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "slots")
+    joined = own.join(known, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "slots", "common")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
