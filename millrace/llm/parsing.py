@@ -8,7 +8,7 @@ phrases wherever they stand. A fingerprint is a sketch of the names of ``LEVELS`
 bits of the least hash. Likeness is the estimated share of phrases in common (Dice), from two fingerprints alone.
 
 Defined cases: a null text counts as empty; the empty text's fingerprint is all zeros, like only itself; ties of
-doc_id are ordered by text, a null doc_id comes last; a single document is its own next one; long texts are parsed whole;
+doc_id are ordered by a hash of the text, a null doc_id comes last; a repeated row is a document of its own; a single document is its own next one; long texts are parsed whole;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, documents, whole_text
+from millrace.llm.common import documents, stored, whole_text
 
 LEVELS, BINS = (2, 3), 32
 #: Code points parsed at a time (a longer text is parsed alone).
@@ -138,8 +138,8 @@ def fingerprint_docs(docs: DataFrame) -> DataFrame:
     last text meet their neighbours in a second, small step.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    dealt = read.repartitionByRange(F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]  # many rows of one doc_id, or of none, are more than one range
+    dealt = read.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
@@ -168,12 +168,13 @@ def fingerprint_docs(docs: DataFrame) -> DataFrame:
         if ids:
             yield edge(2, ids[0], texts[0])
 
-    made = cut(dealt.mapInArrow(run, f"{SCHEMA}, kind int, pid int, text string"))
+    made = stored(dealt.mapInArrow(run, f"{SCHEMA}, kind int, pid int, text string"), "ranges")
     begins = made.where("kind = 1").select("pid", F.col("text").alias("following"))
     ends = made.where("kind = 2").select("pid", "doc_id", "text")
-    ranges = begins.join(ends, "pid")  # a row for each range
     by_range, everything = Window.orderBy("pid"), Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    met = ranges.select("doc_id", "text", F.coalesce(F.lead("following").over(by_range), F.first("following").over(everything)).alias("following"))
+    turn = F.coalesce(F.lead("pid").over(by_range), F.first("pid").over(everything))
+    turns = begins.select("pid").select("pid", turn.alias("then"))  # numbers of ranges only, no texts, meet in one task
+    met = ends.join(turns, "pid").join(begins.withColumnRenamed("pid", "then"), "then").select("doc_id", "text", "following")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
