@@ -269,11 +269,38 @@ def test_licenses_of_planted_and_edge_texts(spark):
     assert got[4]["labels"] == "gpl,mit" and got[4]["base_labels"] == "gpl" and got[5]["n_base"] == 0
 
 
+def test_licenses_of_whole_notices_and_odd_rows(spark):
+    notice = max((t for _, t in licenses.TEMPLATES), key=len)
+    words = notice.split()
+    edited = " ".join(w if k % 6 else "other" for k, w in enumerate(words))
+    rows = [(1, f"xx {notice.upper()} yy"), (2, edited), (3, "K\u212a cc by \u212a"), (None, "all rights reserved"), (4, "word " * 100_000 + "cc by " * 3), (5, notice), (5, notice), (6, " ".join(words[:20]))]
+    got = defaultdict(list)
+    for r in licenses.license_scan(frame(spark, rows).withColumns({c: F.lit(1) for c in ("th", "w", "t", "at", "label", "pos")})).collect():
+        got[r["doc_id"]].append(r)
+    assert got[1][0]["labels"] == got[2][0]["labels"] == "mit" and got[1][0]["score"] == 1.0 > got[2][0]["score"] > 0.6
+    assert got[3][0]["n_base"] == 1 and got[3][0]["n_words"] == 4 and got[None][0]["labels"] == "reserved"
+    assert (got[4][0]["n_base"], got[4][0]["first_word"], got[4][0]["last_word"]) == (3, 100_000, 100_004)
+    assert len(got[5]) == 2 and got[5][0] == got[5][1]
+
+
 def test_url_intervals(spark):
     pages = spark.createDataFrame([(1, "http://m.ads-track.example.com/x"), (2, None), (3, "http://A.ads-track.example.com:80/x"), (4, "bad"), (5, "")], "page_id long, url string")
     at = F.element_at(F.array(*[F.lit(d).cast("date") for d in ("2024-01-10", "2024-02-01", "2024-06-01", "2024-02-01", "2024-02-01")]), F.col("page_id").cast("int"))
     got = {r["page_id"]: r for r in urls.evaluate(pages.withColumn("fetched", at), urls.entries(spark)).collect()}
-    assert got[1]["categories"] == "ads" and [got[k]["listed"] for k in (2, 3, 4, 5)] == [False] * 4
+    assert got[1]["categories"] == "ads" and got[3]["categories"] == "plain" and [got[k]["listed"] for k in (2, 4, 5)] == [False] * 3
+
+
+def test_url_filter_of_odd_rows(spark):
+    changes = [("word", "x", "c", "add", "2024-01-05"), ("word", "x", "c", "add", "2024-01-05"), ("word", "x", "d", "add", "2024-01-02"), ("word", "x", "d", "remove", "2024-01-04"), ("word", "x", "e", "add", "2024-01-03"),
+               ("word", "x", "e", "remove", "2024-01-03"), (None, "x", "f", "add", "2024-01-01"), ("word", None, "f", "add", "2024-01-01"), ("word", "x", "f", "add", None)]
+    table = spark.createDataFrame(changes, "kind string, key string, category string, action string, date string").withColumn("date", F.to_date("date"))
+    long = "http://h/" + "y/" * 3000 + "x"
+    rows = [(1, "http://h/x", "2024-01-03"), (1, "http://h/x", "2024-01-03"), (2, "http://h/x", "2024-01-04"), (3, "http://h/x", "2024-01-05"), (4, "http://h/x", None), (5, long, "2024-02-01"), (None, "x", "2024-01-02"), (6, None, "2024-01-05")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched")).withColumns({c: F.lit(1) for c in ("key", "kind", "entries", "since")})
+    got = sorted(((r["page_id"], r["categories"], r["n_active"], str(r["since"])) for r in urls.evaluate(pages, table).collect()), key=repr)
+    want = [(1, "d", 1, "2024-01-02"), (1, "d", 1, "2024-01-02"), (2, "", 0, "None"), (3, "c", 1, "2024-01-05"), (4, "", 0, "None"), (5, "c", 1, "2024-01-05"), (None, "d", 1, "2024-01-02"), (6, "", 0, "None")]
+    assert got == sorted(want, key=repr)
+    assert urls.evaluate(pages, table.where("false")).where("not listed").count() == len(rows) and urls.evaluate(pages.where("false"), table).count() == 0
 
 
 def test_quality_on_held_out_labels(spark):
@@ -455,6 +482,21 @@ def test_words_of_classes_count_as_whole_names(spark):
     assert texts_of(spark, "<body class='has-sidebar'><article class=with-ads>x</article>") == ["x"]
 
 
+def test_pages_without_body_and_with_a_text_of_the_host(spark):
+    assert texts_of(spark, "<p>Only a fragment</p>", "a <b>b</b><nav>no</nav><p>c", "<html><head><title>no</title></head><p>d") == ["Only a fragment", "a b c", "d"]
+    frame_of = "<body><div class=top>Our site, since 1999</div><div class=x><p>{}</p></div><div class=end>All about us</div>"
+    pages = [frame_of.format(f"text {k}") for k in range(5)] + [frame_of.format("text 0"), "<body><article>All about us</article>", "<body><div class=end>All about us</div>"]
+    assert texts_of(spark, *pages) == [*(f"text {k}" for k in range(5)), "text 0", "All about us", "All about us"]
+    same = [frame_of.format("copy")] * 5  # one page, five times: all of it stays
+    assert texts_of(spark, *same) == ["Our site, since 1999 copy All about us"] * 5
+
+
+def test_a_host_of_many_kinds_of_pages_and_a_long_one(spark):
+    pages = [f"<body><div class=k{chr(97 + k % 26)}{chr(97 + k // 26)}><article class=a{chr(97 + k % 7)}><p>t{k}</p></article></div><footer>no</footer>" for k in range(300)]
+    pages.append("<body><article>" + "<p>word and word</p>" * 20_000 + "</article>")
+    assert texts_of(spark, *pages) == [*(f"t{k}" for k in range(300)), " ".join(["word and word"] * 20_000)]
+
+
 def test_wrappers_have_the_slots_of_their_streams():
     rng = random.Random(4)
 
