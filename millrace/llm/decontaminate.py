@@ -1,39 +1,46 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are the benchmark's words. Passages are windows of two blocks of ``BLOCK`` words, moved by one block. Document
-frequencies come from all blocks of all texts. A randomised SVD of the TF-IDF rows of a bounded sample of passages and of all
-items (scaled to ITEM_ENERGY times its energy) gives the latent basis; its products are made on the executors. Then every passage of
-every text is searched: the words around it, as many on each side as the item has, are scored by the item's latent image, without
-regard to other words or to the corpus's size. What scores no less than the lightest words of the item that ``verify`` could accept
-is a candidate, so items of all lengths, from one word on, are covered. For each candidate the longest common
-subsequence with the words around the passage decides: at least ``COPY`` of the item's words is a copy; at least ``PARAPHRASE`` with
-the item's answer (its last words) there too is a paraphrase. ``cosine`` is that of the item and of its words around the passage.
+Terms are the benchmark's words and the COMMON words that most blocks of a bounded sample of documents have. Weights are logarithms of
+how rare a term is among all blocks of BLOCK words of all texts. A randomised SVD of the TF-IDF rows of the sample's passages and of
+the items, its products made on the executors, gives a basis of fewer dimensions than there are items (DIMS at most). Items are projected
+into it whole, or, if long, in pieces; every text is projected word by word, and windows of it, of the lengths in WINDOWS and moved by
+a quarter or half of that, are searched by their cosine with the items of that length. Words that are no terms have no part in it, so a passage is
+found at any corpus size and whatever stands around it. For each candidate the longest common subsequence with the words around the window decides:
+at least ``COPY`` of the item's words is a copy; at least ``PARAPHRASE`` with the item's answer (its last words) there too is a
+paraphrase.
+
+All items of a block of ITEM_BLOCK are searched in one pass over the corpus; the driver holds one block of items and its basis.
 
 Defined cases: null texts count as empty on both sides; empty items match nothing; items with a null id are
 left out; repeated items of an id count once each; rows that share a doc_id are searched each and reported once; rows
-with a null doc_id are never reported, and stay in ``drop_leaks``; empty tables give no leaks; texts of any length are
-searched whole.
+with a null doc_id are never reported, and stay in ``drop_leaks``; empty tables give no leaks; texts and items of any length are
+searched whole; of equal shares of an item the copy, then the greater cosine is reported; other columns are not read, and ``drop_leaks``
+keeps them whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, documents, whole_text
-
-BLOCK, COPY, PARAPHRASE, SLACK = 24, 0.8, 0.6, 0.95
-#: Latent dimensions at most, extra ones of the random range finder, documents whose passages the basis is fitted on, items
-#: searched in one pass over the corpus, and the items' energy in the fit.
-#: What the items span is put into the basis after the fit, so that it loses nothing of theirs; SLACK is for rounding.
-DIMS, EXTRA, SAMPLE_DOCS, ITEM_BLOCK, ITEM_ENERGY = 256, 16, 1000, 224, 16.0
-#: Passages scored at a time, so few that most items can be left out by the words of all of them.
-PIECE = 64
+from millrace.llm.common import documents, release, stored, whole_text
+
+BLOCK, COPY, PARAPHRASE = 24, 0.8, 0.6
+#: Lengths of windows, in words. An item is searched in the shortest that holds it, a longer one in pieces of the last length.
+WINDOWS = (8, 16, 32, 64)
+#: Cosine of a candidate.
+COSINE = 0.45
+#: Latent dimensions at most, extra ones of the random range finder, documents whose passages the basis is fitted on, words of theirs that
+#: are terms, items of a pass, and the items' energy in the fit.
+DIMS, EXTRA, SAMPLE_DOCS, COMMON, ITEM_BLOCK, ITEM_ENERGY = 128, 16, 1000, 2048, 20_000, 2.0
+#: Words projected at a time, so that their vectors stay in a core's cache.
+PIECE = 4096
 MARKS = ".,;:!?\"'()"
 
 
@@ -42,12 +49,12 @@ def words_of(text: str) -> list[str]:
 
 
 class Terms:
-    """Term ids of a set of items, for words with or without a mark after them."""
+    """Ids of the items' words and of ``more``, for words with or without a mark after them."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], more: list[str]):
         self.items = [(i, words_of(t)) for i, t in items]
         self.ids: dict[str, int] = {}
-        for _, words in self.items:
+        for words in (*(w for _, w in self.items), more):
             for w in words:
                 self.ids.setdefault(w, len(self.ids))
         self.lookup = {f"{a}{w}{b}": k for w, k in self.ids.items() for a in ("", "(", '"') for b in ("", *MARKS)}
@@ -73,98 +80,124 @@ def common_length(item: np.ndarray, words: np.ndarray) -> int:
     return len(item) - left.bit_count()
 
 
-def _block_terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(ids >= 0)
-    return at // BLOCK, ids[at].astype(np.int64)
-
-
 def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
-def block_counts(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
-    """In how many blocks of all texts each term is, and the number of blocks. Both are summed on the executors."""
+def sampled(docs: DataFrame) -> DataFrame:
+    """The texts of SAMPLE_DOCS documents, by a hash of doc_id; of a doc_id with several texts the least."""
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
+    own = _read(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return stored(own.select("text").repartition(8), "sample")
+
+
+def common_words(sample: DataFrame) -> list[str]:
+    """The COMMON words that most blocks of the sample's texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                for k in range(0, len(words), BLOCK):
+                    n.update(set(words[k : k + BLOCK]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    top = sample.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
+    return [r["word"] for r in top.collect()]
+
+
+def tokens(docs: DataFrame, terms: Terms) -> DataFrame:
+    """doc_id and ids, the term ids of the whole text, of every row; stored, so that texts are split once."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        n = len(known.ids)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                own = [shared.value.of(x) for x in part.column(1).to_pylist()]
+                ends = np.cumsum([0] + [len(x) for x in own]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+
+    return stored(_read(docs).mapInArrow(run, "doc_id long, ids array<int>"), "tokens", "zstd")
+
+
+def id_lists(column: pa.ListArray) -> list[np.ndarray]:
+    return [np.asarray(x.values) for x in column]
+
+
+def block_counts(read: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """In how many blocks of all of ``tokens`` each of ``n`` terms is, and the number of blocks. Both are summed on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, blocks = np.zeros(n + 1, np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                ids = known.of(text.as_py())
-                at, t = _block_terms(ids)
-                counts[:n] += np.bincount(np.unique(at * n + t) % max(1, n), minlength=n)
+            for ids in id_lists(batch.column(0)):
+                at = np.flatnonzero(ids >= 0)
+                pairs = np.sort(at // BLOCK * n + ids[at])
+                counts[:n] += np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % max(1, n), minlength=n)
                 blocks += -(-len(ids) // BLOCK)
         counts[n] = blocks
         hit = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit])], ["term", "n"])
 
-    rows = _read(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term
-    counts = np.zeros(len(terms.ids) + 1, np.int64)
+    rows = read.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term
+    counts = np.zeros(n + 1, np.int64)
     for r in rows:
         counts[r["term"]] = r["n"]
     return counts[:-1], int(counts[-1])
 
 
-def _passages(ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(passage, term, value) of each word of the passages' rows in benchmark terms, and the number of passages."""
-    at, t = _block_terms(ids)
-    keep = weight[t] > 0
-    at, t = at[keep], t[keep]
-    blocks = max(1, -(-len(ids) // BLOCK))
-    count = max(1, blocks - 1)
-    both = np.concatenate([at[at < count], (at - 1)[at > 0]]) if blocks > 1 else at
-    terms = np.concatenate([t[at < count], t[at > 0]]) if blocks > 1 else t
-    return both, terms, weight[terms], count
+def tf_idf(ids: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
+    """A unit row for each passage of ``length`` words, moved by half of that; ids of -1 count for nothing."""
+    half = max(1, length // 2)
+    at = np.flatnonzero(ids >= 0)
+    count = max(1, -(-len(ids) // half) - 1)
+    rows = np.zeros((count + 2, len(weight)), np.float32)
+    np.add.at(rows, (np.minimum(at // half, count - 1) + 1, ids[at]), weight[ids[at]])
+    np.add.at(rows, (at // half, ids[at]), weight[ids[at]] * (at // half > 0) * (at // half < count))
+    rows = rows[1 : count + 1]
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
-def fit_basis(docs: DataFrame, terms: Terms, weight: np.ndarray) -> np.ndarray:
-    """An orthonormal basis (terms x dims) of the leading directions: a randomised SVD with one power step.
+def fit_basis(sample: DataFrame, items: np.ndarray, terms: Terms, weight: np.ndarray) -> np.ndarray:
+    """An orthonormal basis (terms x dims) of the leading directions of the sample's passages and the items' rows.
 
-    The sample is SAMPLE_DOCS documents by a hash of doc_id. Executors add up A'(A M) for the rows A of their passages; items' rows
-    are added on the driver. What is collected has terms x (dims + extra) numbers.
+    A randomised SVD with one power step: executors add up A'(A M) for the rows A of their passages, and the items' part is added on the
+    driver. What is sent at a time has terms x (dims + extra) numbers.
     """
     n = len(terms.ids)
-    dims = min(DIMS, n)
+    dims = max(1, min(DIMS, n, len(items) - 1))
     width = min(n, dims + EXTRA)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
-    sample = cut(_read(docs).join(F.broadcast(chosen), "doc_id", "left_semi").select("text").repartition(8))
-    rows = np.zeros((len(terms.items), n), np.float32)
-    for k, row in enumerate(terms.rows):
-        np.add.at(rows[k], row, weight[row])
-    context = docs.sparkSession.sparkContext
-
-    def product(m: np.ndarray) -> tuple[np.ndarray, float]:
+    context = sample.sparkSession.sparkContext
+
+    def product(m: np.ndarray) -> np.ndarray:
         shared = context.broadcast((terms, weight, m.astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, w, right = shared.value
-            total, energy = np.zeros_like(right), 0.0
+            total, count = np.zeros_like(right), 0
             for batch in batches:
                 for text in batch.column(0):
-                    p, t, v, count = _passages(known.of(text.as_py()), w)
-                    for lo in range(0, count, 256):
-                        own = (p >= lo) & (p < lo + 256)
-                        a = np.zeros((min(256, count - lo), len(right)), np.float32)
-                        np.add.at(a, (p[own] - lo, t[own]), v[own])
+                    ids = known.of(text.as_py())
+                    for lo in range(0, len(ids), PIECE):
+                        a = tf_idf(ids[lo : lo + PIECE], w, 2 * BLOCK)
                         total += a.T @ (a @ right)
-                        energy += float((v[own] ** 2).sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right) + 1)), pa.array([r.tobytes() for r in total] + [np.float64(energy).tobytes()])], ["term", "row"])
+                        count += len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right) + 1)), pa.array([r.tobytes() for r in total] + [np.int64(count).tobytes()])], ["term", "row"])
 
-        z, energy = np.zeros_like(m), 0.0
+        z, count = np.zeros_like(m), 0
         for r in sample.mapInArrow(run, "term long, row binary").toLocalIterator():  # 8 tasks' sums
             if r["term"] < n:
                 z[r["term"]] += np.frombuffer(r["row"], np.float32)
             else:
-                energy += np.frombuffer(r["row"], np.float64)[0]
-        scale = max(1.0, ITEM_ENERGY * energy / max(1e-9, float((rows**2).sum())))
-        return z + scale * (rows.T @ (rows @ m)), energy
-
-    q = np.random.default_rng(7).standard_normal((n, width))
-    for _ in range(1):
-        q, _ = np.linalg.qr(product(q)[0])
-    z, _ = product(q)
+                count += int(np.frombuffer(r["row"], np.int64)[0])
+        shared.unpersist()
+        return z + ITEM_ENERGY * max(1, count) / len(items) * (items.T @ (items @ m))
+
+    q, _ = np.linalg.qr(product(np.random.default_rng(7).standard_normal((n, width))))
+    z = product(q)
     values, vectors = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
     return (q @ vectors[:, np.argsort(values)[::-1][:dims]]).astype(np.float32)
 
@@ -187,110 +220,127 @@ def verify(item: np.ndarray, words: np.ndarray) -> tuple[str, float]:
     return "", share
 
 
-def own_cosine(item: np.ndarray, words: np.ndarray, weight: np.ndarray) -> float:
-    """The cosine of an item and of those of ``words`` that the item has."""
-    terms, n = np.unique(item, return_counts=True)
-    there = np.array([(words == t).sum() for t in terms.tolist()])
-    a, b = n * weight[terms], there * weight[terms]
-    return float(a @ b / max(1e-9, np.linalg.norm(a) * np.linalg.norm(b)))
+def pieces(rows: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
+    """(item, window length, ids) of each item, or of the pieces of one that is longer than the last of WINDOWS."""
+    out = []
+    for k, row in enumerate(rows):
+        step = WINDOWS[-1]
+        parts = [row] if len(row) <= step else [row[max(0, min(i, len(row) - step)) :][:step] for i in range(0, len(row), step)]
+        out += [(k, next(w for w in WINDOWS if len(p) <= w), p) for p in parts]
+    return out
+
+
+class Index:
+    """The items' latent images by window length, and the latent vector of each term; the last row is that of no term."""
+
+    def __init__(self, rows: list[np.ndarray], basis: np.ndarray, weight: np.ndarray):
+        self.vectors = np.vstack([basis * weight[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+        self.images: list[tuple[int, list[tuple[int, np.ndarray]], np.ndarray]] = []
+        parts = pieces(rows)
+        for length in WINDOWS:
+            own = [(k, ids) for k, w, ids in parts if w == length]
+            if own:
+                image = np.array([self.vectors[ids].sum(axis=0) for _, ids in own])
+                image /= np.maximum(np.linalg.norm(image, axis=1, keepdims=True), 1e-9)
+                self.images.append((length, own, np.ascontiguousarray(image.T, np.float32)))
+        #: Words whose vectors are added up before windows are made of them.
+        self.step = max(1, self.images[0][0] // 2) if self.images else 1
+        self.step = min(self.step, 8)
+
+    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, float]]:
+        """(start, window length, item, its piece's ids, cosine) of the windows of ``ids`` that an item's cosine with is at least COSINE.
+
+        Windows of a length are moved by a quarter of it, or by ``step``.
+        """
+        step, tail = self.step, WINDOWS[-1]
+        for lo in range(0, len(ids), PIECE):
+            part = ids[lo : lo + PIECE + tail]
+            part = np.concatenate([part, np.full(-len(part) % step, -1, ids.dtype)])
+            blocks = self.vectors[part].reshape(-1, step, self.vectors.shape[1]).sum(axis=1)
+            sums = np.zeros((len(blocks) + 1, blocks.shape[1]), np.float32)
+            np.cumsum(blocks, axis=0, out=sums[1:])
+            for length, items, image in self.images:
+                starts = np.arange(0, min(PIECE // step, len(blocks)), max(1, length // step // 4))
+                y = sums[np.minimum(starts + length // step, len(blocks))] - sums[starts]
+                norm = np.sqrt(np.einsum("ij,ij->i", y, y))
+                cosine = y @ image
+                for i, j in zip(*np.nonzero(cosine >= COSINE * np.maximum(norm, 1e-6)[:, None]), strict=True):
+                    yield lo + int(starts[i]) * step, length, *items[j], float(cosine[i, j] / norm[i])
+
+
+def searched(known: Terms, index: Index, own: list[np.ndarray]) -> list[dict[int, tuple[float, str, float]]]:
+    """For each text (its term ids) the share, kind and cosine of the items that leak into it.
+
+    Texts are searched in one row with gaps in between that no window spans, each beginning at a multiple of the index's step. Of a long
+    item the piece that was found is looked for first.
+    """
+    tail = WINDOWS[-1]
+    gaps = [np.full(tail + -len(x) % index.step, -1, np.int32) for x in own]
+    begins = np.cumsum([0] + [len(x) + len(g) for x, g in zip(own, gaps, strict=True)])
+    best: list[dict[int, tuple[float, str, float]]] = [{} for _ in own]
+    tried: dict[tuple[int, int], int] = {}  # the words around a window hold those of the next ones
+    row = np.concatenate([x for pair in zip(own, gaps, strict=True) for x in pair]) if own else np.zeros(0, np.int32)
+    for start, length, k, piece, cosine in index.candidates(row):
+        d = int(np.searchsorted(begins, start, side="right")) - 1
+        at, item, last = start - int(begins[d]), known.rows[k], best[d].get(k, (0.0, "", 0.0))
+        if at >= len(own[d]) or last[0] == 1.0 or 0 <= at - tried.get((d, k), -1 - len(piece)) <= len(piece) // 2:
+            continue
+        tried[d, k] = at
+        if len(piece) < len(item) and common_length(piece, own[d][max(0, at - len(piece)) : at + length + len(piece)]) < PARAPHRASE * len(piece):
+            continue
+        kind, share = verify(item, own[d][max(0, at - len(item)) : at + length + len(item)])
+        if kind and (share, kind == "copy", cosine) > (last[0], last[1] == "copy", last[2]):
+            best[d][k] = (share, kind, cosine)
+    return best
+
+
+SCHEMA = "doc_id long, item_id long, kind string, share double, cosine double"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that leaks into it: doc_id, item_id, kind, share (of the item's words), cosine."""
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text")
-    everything = [(r["item_id"], r["text"]) for r in items.toLocalIterator() if words_of(r["text"])]  # the stated query set
-    schema = "doc_id long, item_id long, kind string, share double, cosine double"
-    found = spark.createDataFrame([], schema)
-    for start in range(0, len(everything), ITEM_BLOCK):
-        found = found.unionByName(_leaks(docs, Terms(everything[start : start + ITEM_BLOCK]), schema))
-    by_rank = F.struct(F.col("share"), F.col("kind"), F.col("cosine"))
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().orderBy("item_id", "text")
+    everything = ((r["item_id"], r["text"]) for r in items.toLocalIterator())  # the stated query set, a block at a time
+    found, sample = spark.createDataFrame([], SCHEMA), None
+    while block := list(islice(everything, ITEM_BLOCK)):
+        if block := [x for x in block if words_of(x[1])]:
+            sample = sample or sampled(docs)
+            found = found.unionByName(_leaks(docs, sample, Terms(block, common_words(sample))))
+    if sample:
+        release(sample)
+    by_rank = F.struct(F.col("share"), F.col("kind") == "copy", F.col("cosine"), F.col("kind"))
     best = found.where("doc_id is not null").groupBy("doc_id", "item_id").agg(F.max(by_rank).alias("x"))
     return best.select("doc_id", "item_id", "x.kind", "x.share", "x.cosine")
 
 
-def least_score(weights: np.ndarray) -> float:
-    """The least score of words around a passage that ``verify`` can accept, by the weights of an item's words in order.
-
-    At least PARAPHRASE of the words must be there; no choice of them has less than the lightest ones.
-    """
-    need = max(1, int(np.ceil(PARAPHRASE * len(weights) - 1e-9)))
-    return SLACK * float(np.sort(weights.astype(np.float64) ** 2)[:need].sum())
-
-
-def candidates(ids: np.ndarray, image: np.ndarray, reach: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(passage, item) where the scores of the blocks around the passage add up to the item's least.
-
-    ``image`` has the items' latent images by term, ``reach`` the blocks beside a passage that an item's words go to. A term counts
-    once a block. Texts are gone through in pieces, so memory doesn't grow with their length.
-    """
-    blocks = -(-len(ids) // BLOCK)
-    count, halo = max(1, blocks - 1), int(reach.max())
-    step = max(PIECE, 2 * halo)
-    for lo in range(0, count, step):
-        hi = min(count, lo + step)
-        first, last = max(0, lo - halo), min(blocks, hi + 1 + halo)
-        at, term = _block_terms(ids[first * BLOCK : last * BLOCK])
-        there = np.zeros(len(image), bool)
-        there[term] = True
-        some = np.flatnonzero(image[there].sum(axis=0) >= least)  # no passage has more than the piece's words together
-        if not len(some):
-            continue
-        pairs = np.unique(at * len(image) + term)
-        at, term = pairs // len(image), pairs % len(image)
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        sums = np.zeros((last - first + 1, len(some)), np.float32)
-        sums[at[starts] + 1] = np.add.reduceat(image[np.ix_(term, some)], starts, axis=0)
-        np.cumsum(sums, axis=0, out=sums)
-        here = np.arange(lo, hi)[:, None]
-        ends, begins = np.minimum(here + 2 + reach[some], last) - first, np.maximum(here - reach[some], first) - first
-        columns = np.arange(len(some))
-        for i, j in zip(*np.nonzero(sums[ends, columns] - sums[begins, columns] >= least[some]), strict=True):
-            yield lo + int(i), int(some[j])
-
-
-def _leaks(docs: DataFrame, terms: Terms, schema: str) -> DataFrame:
-    spark = docs.sparkSession
-    counts, blocks = block_counts(docs, terms)
-    weight = np.maximum(np.log((blocks + 1) / (counts + 1)), 0.1)
-    basis = fit_basis(docs, terms, np.append(weight, 0.0))
-    vectors = np.zeros((len(terms.items), len(terms.ids)), np.float32)
-    for k, row in enumerate(terms.rows):
-        np.add.at(vectors[k], row, weight[row])
-    basis, _ = np.linalg.qr(np.hstack([vectors.T, basis]).astype(np.float64))  # with all that the items span, so that no part of one is lost
-    image = ((basis @ (basis.T @ vectors.T)) * weight[:, None]).astype(np.float32)
-    reach = np.array([-(-len(row) // BLOCK) for row in terms.rows])
-    least = np.array([least_score(weight[row]) for row in terms.rows], np.float32)
-    shared = spark.sparkContext.broadcast((terms, weight, image, reach, least))
+def _leaks(docs: DataFrame, sample: DataFrame, terms: Terms) -> DataFrame:
+    read = tokens(docs, terms)
+    counts, blocks = block_counts(read, len(terms.ids))
+    weight = np.maximum(np.log((blocks + 1) / (counts + 1)), 0.1).astype(np.float32)
+    rows = np.concatenate([tf_idf(row[: WINDOWS[-1]], weight, 2 * WINDOWS[-1]) for row in terms.rows])
+    index = Index(terms.rows, fit_basis(sample, rows, terms, weight), weight)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w, images, reaches, leasts = shared.value
+        known, own = shared.value
         for batch in batches:
-            out = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = known.of(text)
-                best: dict[int, tuple] = {}
-                for passage, k in candidates(ids, images, reaches, leasts):
-                    if k in best and best[k][0] == 1.0:
-                        continue
-                    item = known.rows[k]
-                    first = passage * BLOCK
-                    around = ids[max(0, first - len(item)) : first + 2 * BLOCK + len(item)]
-                    kind, share = verify(item, around)
-                    if kind and (share, kind) > best.get(k, (0.0, "", 0.0))[:2]:
-                        best[k] = (share, kind, own_cosine(item, around, w))
-                out += [(doc_id, known.items[k][0], kind, share, c) for k, (share, kind, c) in best.items()]
-            if out:
-                columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["doc_id", "item_id", "kind", "share", "cosine"])
-
-    return _read(docs).mapInArrow(run, schema)
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                best = searched(known, own, id_lists(part.column(1)))
+                out = [(i, known.items[k][0], kind, share, c) for i, found in zip(part.column(0).to_pylist(), best, strict=True) for k, (share, kind, c) in found.items()]
+                if out:
+                    columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["doc_id", "item_id", "kind", "share", "cosine"])
+
+    return stored(read.mapInArrow(run, SCHEMA), "found")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak."""
-    gone = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left_anti")
+    gone = stored(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return own.join(gone, "doc_id", "left_anti").select("row.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
