@@ -360,35 +360,65 @@ def test_decontamination_recall(spark):
     df = frame(spark, docs + planted)
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench).collect()}
     assert want <= got and len(got) <= len(want) + 2
-    left = [r["doc_id"] for r in decontaminate.drop_leaks(df, bench).collect()]
+    assert decontaminate.leaks(df.withColumns({c: F.lit(1) for c in ("item_id", "ids", "kind", "row")}), bench).count() == len(got)
+    left = [r["doc_id"] for r in decontaminate.drop_leaks(df.withColumn("row", F.lit(1)), bench).collect()]
     assert set(left) == {i for i, _ in docs + planted} - {i for i, _ in got}
 
 
-def test_candidates_are_all_that_verify_accepts():
+def latent(texts, items, grow=1):
+    """Terms and index as the operator makes them, but with numpy's own decomposition of the passages' and items' rows."""
+    n = defaultdict(int)
+    for t in texts:
+        words = decontaminate.words_of(t)
+        for k in range(0, len(words), decontaminate.BLOCK):
+            for w in set(words[k : k + decontaminate.BLOCK]):
+                n[w] += 1
+    terms = decontaminate.Terms(items, sorted(n, key=lambda w: (-n[w], w))[: decontaminate.COMMON])
+    blocks = sum(-(-len(t.split()) // decontaminate.BLOCK) for t in texts)
+    weight = np.array([max(0.1, np.log((blocks * grow + 1) / (n[w] * grow + 1))) for w in terms.ids], np.float32)
+    rows = np.concatenate([decontaminate.tf_idf(r[:64], weight, 128) for r in terms.rows])
+    passages_ = np.concatenate([decontaminate.tf_idf(terms.of(t), weight, 48) for t in texts])
+    scale = np.sqrt(decontaminate.ITEM_ENERGY * len(passages_) / len(rows))
+    dims = min(decontaminate.DIMS, len(weight), len(items) - 1)
+    values, vectors = np.linalg.eigh(passages_.T @ passages_ + scale**2 * rows.T @ rows)
+    return terms, decontaminate.Index(terms.rows, vectors[:, ::-1][:, :dims].astype(np.float32), weight), dims
+
+
+@pytest.mark.parametrize("grow", [1, 1000])
+def test_recall_of_items_of_all_lengths_and_changes(grow):
+    """Copies and paraphrases that verify() accepts, against brute force; the second time with the words of a corpus of 1000 times the size."""
     rng = random.Random(6)
-    items = [(n, " ".join(rng.choice(WORDS[: rng.choice([30, 400])]) for _ in range(n))) for n in (1, 2, 3, 5, 15, 40, 90, 300, 700)]
-    terms = decontaminate.Terms(items)
-    counts = np.array([rng.randrange(1, 500) for _ in terms.ids])
-    texts = [""]
-    for _, x in items:
-        for drop in (0.0, 0.15, 0.35):
-            words = [w if rng.random() >= drop else f"z{rng.randrange(99)}" for w in x.split()]
-            texts.append(" ".join([rng.choice([*WORDS[:9], "zz", "yy"]) for _ in range(rng.randrange(3000))] + words + ["zz"] * rng.randrange(60)))
-    for blocks in (600, 10**9):  # the same words in a larger corpus
-        weight = np.maximum(np.log((blocks + 1) / (counts * blocks // 600 + 1)), 0.1)
-        image = np.zeros((len(terms.ids), len(items)), np.float32)
-        for k, row in enumerate(terms.rows):
-            np.add.at(image[:, k], row, weight[row] ** 2)
-        reach = np.array([-(-len(r) // decontaminate.BLOCK) for r in terms.rows])
-        least = np.array([decontaminate.least_score(weight[r]) for r in terms.rows], np.float32)
-        for text in texts:
-            ids = terms.of(text)
-            got = set(decontaminate.candidates(ids, image, reach, least))
-            for k, row in enumerate(terms.rows):
-                for p in range(max(1, -(-len(ids) // decontaminate.BLOCK) - 1)):
-                    first = p * decontaminate.BLOCK
-                    if decontaminate.verify(row, ids[max(0, first - len(row)) : first + 2 * decontaminate.BLOCK + len(row)])[0]:
-                        assert (p, k) in got
+    texts = [t for _, t in DOCS if t and len(t.split()) > 60][:60]
+    words = [w for t in texts for w in t.split()[:300]]
+    items = []
+    for n in (3, 4, 5, 6, 8, 12, 20, 32, 48, 64, 70, 150, 560, 2000):
+        for _ in range(10):
+            x = [rng.choice(words) for _ in range(n)]
+            items.append((len(items), " ".join(x)))
+    terms, index, dims = latent(texts, items, grow)
+    assert dims < len(items)
+    found, all_of = defaultdict(int), defaultdict(int)
+    for drop in (0.0, 0.15, 0.3):
+        for k, (_, t) in enumerate(items):
+            x = t.split()
+            answer = len(x) - max(3, len(x) // 5)
+            changed = [rng.choice(words) if p < answer and rng.random() < drop else w for p, w in enumerate(x)]
+            host = rng.choice(texts).split()[:400]
+            at = rng.randrange(len(host))
+            if decontaminate.verify(terms.rows[k], terms.of(" ".join(changed)))[0]:
+                key = (min(len(x), 100), drop > 0)
+                all_of[key] += 1
+                found[key] += k in decontaminate.searched(terms, index, [terms.of(" ".join(host[:at] + changed + host[at:]))])[0]
+    assert sum(found.values()) >= 0.95 * sum(all_of.values())
+    assert all(found[k] >= 0.8 * n for k, n in all_of.items()), (dict(found), dict(all_of))
+
+
+def test_windows_span_no_two_texts():
+    texts = ["a b c d e f g h i j k", "", "l m n o p q", "a b c"]
+    items = [(k, x) for k, x in enumerate(["i j k l m n", "l m n o p q", "a b c", "g h i j k", "z y x"])]
+    terms, index, _ = latent(texts * 3, items)
+    got = decontaminate.searched(terms, index, [terms.of(t) for t in texts])
+    assert [sorted(x) for x in got] == [[2, 3], [], [1], [2]]
 
 
 def test_leaks_among_other_words_and_of_all_lengths(spark):
