@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -27,3 +31,9 @@ def test_query_agrees_with_its_sql(spark, name):
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", ["millrace.llm", "corpus_pipeline", "ahocorasick", "public_tokenizers"])
+def test_other_queries_are_there_without_the_subpackage(gone):
+    code = f"import sys; sys.modules['{gone}'] = None; import __spark_entry__ as e; from millrace import plans; assert set(e.queries()) == set(plans.QUERIES) and set(e.oracle_sql()) == set(plans.ORACLES)"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), check=True, timeout=120)
