@@ -57,7 +57,7 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 #: Numbers (rows, or entries of the arrays in them) that ``bounded`` lets be broadcast.
-BROADCAST = 2_000_000
+BROADCAST = 500_000
 
 
 def bounded(table: DataFrame, size: str = "1") -> DataFrame:
