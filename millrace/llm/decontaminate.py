@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ COSINE = 0.45
 DIMS, EXTRA, SAMPLE_DOCS, COMMON, ITEM_BLOCK, ITEM_ENERGY = 128, 16, 1000, 2048, 20_000, 2.0
 #: Words projected at a time, so that their vectors stay in a core's cache.
 PIECE = 4096
+#: Words that a Python worker remembers between texts.
+KNOWN = 500_000
 MARKS = ".,;:!?\"'()"
 
 
@@ -48,8 +50,22 @@ def words_of(text: str) -> list[str]:
     return [x for x in (w.strip(MARKS) for w in text.lower().split()) if x]
 
 
+class Lookup(dict):
+    """Term ids by words as they stand in texts; a word that is new is looked up without its marks and remembered."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        k = self[word] = self.ids.get(word.strip(MARKS), -1)
+        return k
+
+
 class Terms:
-    """Ids of the items' words and of ``more``, for words with or without a mark after them."""
+    """Ids of the items' words and of ``more``."""
 
     def __init__(self, items: list[tuple[int, str]], more: list[str]):
         self.items = [(i, words_of(t)) for i, t in items]
@@ -57,13 +73,13 @@ class Terms:
         for words in (*(w for _, w in self.items), more):
             for w in words:
                 self.ids.setdefault(w, len(self.ids))
-        self.lookup = {f"{a}{w}{b}": k for w, k in self.ids.items() for a in ("", "(", '"') for b in ("", *MARKS)}
+        self.lookup = Lookup(self.ids)
         self.rows = [np.array([self.ids[w] for w in words], np.int64) for _, words in self.items]
 
     def of(self, text: str) -> np.ndarray:
         """Term ids in order, -1 for other words."""
         words = text.lower().split()
-        return np.fromiter(map(self.lookup.get, words, repeat(-1)), np.int32, len(words))
+        return np.fromiter(map(self.lookup.__getitem__, words), np.int32, len(words))
 
 
 def common_length(item: np.ndarray, words: np.ndarray) -> int:
