@@ -224,7 +224,7 @@ def verify(item: np.ndarray, words: np.ndarray) -> tuple[str, float]:
     No common subsequence is longer than the item's words that occur at all, so where those are too few none is looked for.
     """
     there = set(words.tolist())
-    share = sum(t in there for t in item.tolist()) / len(item)
+    share = len([t for t in item.tolist() if t in there]) / len(item)
     if share < PARAPHRASE:
         return "", share
     share = common_length(item, words) / len(item)
@@ -263,10 +263,12 @@ class Index:
         self.step = max(1, self.images[0][0] // 2) if self.images else 1
         self.step = min(self.step, 8)
 
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, float]]:
-        """(start, window length, item, its piece's ids, cosine) of the windows of ``ids`` that an item's cosine with is at least COSINE.
+    def candidates(self, ids: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, int, list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]]:
+        """Starts, window length, items' pieces, numbers of pieces and cosines of the windows of ``ids`` that begin ``inside`` and have a
+        cosine of at least COSINE with a piece.
 
-        Windows of a length are moved by a quarter of it, or by ``step``.
+        Windows of a length are moved by a quarter of it, or by ``step``. Of those of one piece that begin within half its length the first
+        is given: the words around it hold the others' words.
         """
         step, tail = self.step, WINDOWS[-1]
         for lo in range(0, len(ids), PIECE):
@@ -277,11 +279,19 @@ class Index:
             np.cumsum(blocks, axis=0, out=sums[1:])
             for length, items, image in self.images:
                 starts = np.arange(0, min(PIECE // step, len(blocks)), max(1, length // step // 4))
+                places = lo + starts * step
+                held = (places < len(ids)) & inside[np.minimum(places, len(ids) - 1)]
+                starts, places = starts[held], places[held]
                 y = sums[np.minimum(starts + length // step, len(blocks))] - sums[starts]
-                norm = np.sqrt(np.einsum("ij,ij->i", y, y))
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", y, y)), 1e-6)
                 cosine = y @ image
-                for i, j in zip(*np.nonzero(cosine >= COSINE * np.maximum(norm, 1e-6)[:, None]), strict=True):
-                    yield lo + int(starts[i]) * step, length, *items[j], float(cosine[i, j] / norm[i])
+                i, j = np.nonzero(cosine >= COSINE * norm[:, None])
+                if len(i):
+                    half = np.array([max(1, len(ids) // 2) for _, ids in items])
+                    _, first = np.unique(j * (len(ids) + 1) + places[i] // half[j], return_index=True)
+                    first.sort()
+                    i, j = i[first], j[first]
+                    yield places[i], length, items, j, cosine[i, j] / norm[i]
 
 
 def searched(known: Terms, index: Index, own: list[np.ndarray]) -> list[dict[int, tuple[float, str, float]]]:
@@ -294,19 +304,20 @@ def searched(known: Terms, index: Index, own: list[np.ndarray]) -> list[dict[int
     gaps = [np.full(tail + -len(x) % index.step, -1, np.int32) for x in own]
     begins = np.cumsum([0] + [len(x) + len(g) for x, g in zip(own, gaps, strict=True)])
     best: list[dict[int, tuple[float, str, float]]] = [{} for _ in own]
-    tried: dict[tuple[int, int], int] = {}  # the words around a window hold those of the next ones
     row = np.concatenate([x for pair in zip(own, gaps, strict=True) for x in pair]) if own else np.zeros(0, np.int32)
-    for start, length, k, piece, cosine in index.candidates(row):
-        d = int(np.searchsorted(begins, start, side="right")) - 1
-        at, item, last = start - int(begins[d]), known.rows[k], best[d].get(k, (0.0, "", 0.0))
-        if at >= len(own[d]) or last[0] == 1.0 or 0 <= at - tried.get((d, k), -1 - len(piece)) <= len(piece) // 2:
-            continue
-        tried[d, k] = at
-        if len(piece) < len(item) and common_length(piece, own[d][max(0, at - len(piece)) : at + length + len(piece)]) < PARAPHRASE * len(piece):
-            continue
-        kind, share = verify(item, own[d][max(0, at - len(item)) : at + length + len(item)])
-        if kind and (share, kind == "copy", cosine) > (last[0], last[1] == "copy", last[2]):
-            best[d][k] = (share, kind, cosine)
+    inside = np.concatenate([x for a, g in zip(own, gaps, strict=True) for x in (np.ones(len(a), bool), np.zeros(len(g), bool))]) if own else np.zeros(0, bool)
+    for places, length, pieces_, numbers, cosines in index.candidates(row, inside):
+        docs = np.searchsorted(begins, places, side="right") - 1
+        for d, at, j, cosine in zip(docs.tolist(), (places - begins[docs]).tolist(), numbers.tolist(), cosines.tolist(), strict=True):
+            k, piece = pieces_[j]
+            text, item, last = own[d], known.rows[k], best[d].get(k, (0.0, "", 0.0))
+            if last[0] == 1.0:
+                continue
+            if len(piece) < len(item) and common_length(piece, text[max(0, at - len(piece)) : at + length + len(piece)]) < PARAPHRASE * len(piece):
+                continue
+            kind, share = verify(item, text[max(0, at - len(item)) : at + length + len(item)])
+            if kind and (share, kind == "copy", cosine) > (last[0], last[1] == "copy", last[2]):
+                best[d][k] = (share, kind, cosine)
     return best
 
 
