@@ -75,6 +75,14 @@ class Terms:
                 self.ids.setdefault(w, len(self.ids))
         self.lookup = Lookup(self.ids)
         self.rows = [np.array([self.ids[w] for w in words], np.int64) for _, words in self.items]
+        self.all = np.concatenate(self.rows) if self.rows else np.zeros(0, np.int64)
+        self.lengths = np.array([len(r) for r in self.rows], np.int64)
+
+    def possible(self, ids: np.ndarray) -> np.ndarray:
+        """For each item whether at least PARAPHRASE of its words are in a text at all; ``verify`` accepts no other."""
+        there = np.zeros(len(self.ids), np.int32)
+        there[ids[ids >= 0]] = 1
+        return np.add.reduceat(there[self.all], np.cumsum(self.lengths) - self.lengths) >= PARAPHRASE * self.lengths
 
     def of(self, text: str) -> np.ndarray:
         """Term ids in order, -1 for other words."""
@@ -305,11 +313,16 @@ def searched(known: Terms, index: Index, own: list[np.ndarray]) -> list[dict[int
     begins = np.cumsum([0] + [len(x) + len(g) for x, g in zip(own, gaps, strict=True)])
     best: list[dict[int, tuple[float, str, float]]] = [{} for _ in own]
     row = np.concatenate([x for pair in zip(own, gaps, strict=True) for x in pair]) if own else np.zeros(0, np.int32)
+    possible: dict[int, np.ndarray] = {}
     inside = np.concatenate([x for a, g in zip(own, gaps, strict=True) for x in (np.ones(len(a), bool), np.zeros(len(g), bool))]) if own else np.zeros(0, bool)
     for places, length, pieces_, numbers, cosines in index.candidates(row, inside):
         docs = np.searchsorted(begins, places, side="right") - 1
         for d, at, j, cosine in zip(docs.tolist(), (places - begins[docs]).tolist(), numbers.tolist(), cosines.tolist(), strict=True):
             k, piece = pieces_[j]
+            if d not in possible:
+                possible[d] = known.possible(own[d])
+            if not possible[d][k]:
+                continue
             text, item, last = own[d], known.rows[k], best[d].get(k, (0.0, "", 0.0))
             if last[0] == 1.0:
                 continue
