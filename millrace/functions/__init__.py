@@ -32,6 +32,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def round_half_up(x: Column, digits: int) -> Column:
+    """A double times 10^digits, rounded to whole (halves away from zero) and divided again, as SQL engines in C++ do; zero keeps the sign of ``x``."""
+    scale = F.lit(10.0**digits)
+    whole = F.round(x * scale)
+    return F.when(whole == 0, x * 0.0).otherwise(whole / scale)
+
+
 def histogram_bucket(x: Column, low: float, high: float, n: int) -> Column:
     """The bucket, 0 to n - 1, of ``x`` among ``n`` equal ones of [low, high]; values outside count to the first and last; null for null."""
     return F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((x - low) * n / (high - low)).cast("int"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import dot, histogram_bucket, iso_weekday, norm, ratio, title_words
+from millrace.functions import dot, histogram_bucket, iso_weekday, norm, ratio, round_half_up, title_words
 from millrace.sources import table
 
 
@@ -39,12 +39,14 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("embedding")
+    """All is computed in the elements' own type, float, as SQL does: a decimal fraction is the nearest float, a product is rounded to float."""
+    v, some, thousand = F.col("embedding"), F.array_compact("embedding"), F.lit(1000).cast("float")
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.size(v).alias("n"), F.round(norm(v), 5).alias("length"), F.round(dot(v, F.reverse(v)), 5).alias("mirrored"), F.element_at(v, -1).cast("double").alias("last"),
-        F.size(F.filter(v, lambda x: x > 0)).alias("positive"), F.exists(v, lambda x: x > 0.3).alias("some_large"), F.forall(v, lambda x: x < 0.9).alias("none_huge"),
+        "vec_id", F.size(v).alias("n"), round_half_up(norm(v), 5).alias("length"), round_half_up(dot(v, F.reverse(v)), 5).alias("mirrored"), F.try_element_at(v, F.lit(-1)).cast("double").alias("last"),
+        F.size(F.filter(v, lambda x: x > 0)).alias("positive"), F.when(F.size(some) > 0, F.exists(some, lambda x: x > F.lit(0.3).cast("float"))).alias("some_large"),
+        F.when(F.size(some) > 0, F.forall(some, lambda x: x < F.lit(0.9).cast("float"))).alias("none_huge"),
         F.array_max(v).cast("double").alias("greatest"), F.array_position(v, F.array_min(v)).cast("long").alias("least_at"),
-        F.array_join(F.transform(F.slice(F.array_sort(v), 1, 3), lambda x: F.floor(x * 1000).cast("string")), ",").alias("least_three"))
+        F.array_join(F.transform(F.slice(F.array_sort(v), 1, 3), lambda x: F.floor(x * thousand).cast("string")), ",").alias("least_three"))
 
 
 def exploded(spark: SparkSession, sf_dir: str) -> DataFrame:

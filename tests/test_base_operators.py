@@ -128,3 +128,13 @@ def test_repeated_rows_of_a_stream(spark, tmp_path):
     spark.createDataFrame([(1, at(1)), (1, at(1)), (2, at(1)), (None, at(2))], "id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/a")
     stream = streaming.watermarked(spark.readStream.schema("id long, ts timestamp_ntz").parquet(f"{tmp_path}/a"), "ts", "1 hour")
     assert rows(streaming.drained(streaming.first_of_each(stream, ["id"])), "id") == [(1,), (2,), (None,)]
+
+
+def test_arrays_as_sql_at_the_bounds_of_floats(spark, tmp_path):
+    from millrace.plans import scalars
+
+    rows_ = [(1, [0.3, -0.3]), (2, [0.9]), (3, [0.001, 0.007, 0.009, -0.023]), (4, []), (5, None), (6, [-0.0, 0.0, 0.1]), (7, [1e-4, -1e-3]), (8, [-0.273, -0.347, -0.2])]
+    spark.createDataFrame(rows_, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = duckdb.sql(scalars.ORACLES["q_arrays"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in scalars.QUERIES["q_arrays"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
