@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Terms are the benchmark's words and the COMMON words that most blocks of a bounded sample of documents have. Weights are logarithms of
-how rare a term is among all blocks of BLOCK words of all texts. A randomised SVD of the TF-IDF rows of the sample's passages and of
-the items, its products made on the executors, gives a basis of fewer dimensions than there are items (DIMS at most). Items are projected
+Terms are the benchmark's words and the COMMON words that most blocks of BLOCK words of all texts have. Weights are logarithms of
+how rare a term is among those blocks; every word of every text is counted. A randomised SVD of the TF-IDF rows of a bounded sample's passages
+and of the items, its products made on the executors, gives a basis of fewer dimensions than there are items (DIMS at most). Items are projected
 into it whole, or, if long, in pieces; every text is projected word by word, and windows of it, of the lengths in WINDOWS and moved by
 a quarter or half of that, are searched by their cosine with the items of that length. Words that are no terms have no part in it, so a passage is
 found at any corpus size and whatever stands around it. For each candidate the longest common subsequence with the words around the window decides:
@@ -20,9 +20,8 @@ keeps them whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +35,13 @@ BLOCK, COPY, PARAPHRASE = 24, 0.8, 0.6
 WINDOWS = (8, 16, 32, 64)
 #: Cosine of a candidate.
 COSINE = 0.45
-#: Latent dimensions at most, extra ones of the random range finder, documents whose passages the basis is fitted on, words of theirs that
+#: Latent dimensions at most, extra ones of the random range finder, documents whose passages the basis is fitted on, common words that
 #: are terms, items of a pass, and the items' energy in the fit.
 DIMS, EXTRA, SAMPLE_DOCS, COMMON, ITEM_BLOCK, ITEM_ENERGY = 128, 16, 1000, 2048, 20_000, 2.0
 #: Words projected at a time, so that their vectors stay in a core's cache.
 PIECE = 4096
-#: Words that a Python worker remembers between texts.
-KNOWN = 500_000
+#: Words that a Python worker remembers between texts; texts of a row of ``split_texts``, and words with which it is full.
+KNOWN, TEXTS, TEXT_WORDS = 500_000, 1000, 400_000
 MARKS = ".,;:!?\"'()"
 
 
@@ -115,62 +114,104 @@ def sampled(docs: DataFrame) -> DataFrame:
     return stored(own.select("text").repartition(8), "sample")
 
 
-def common_words(sample: DataFrame) -> list[str]:
-    """The COMMON words that most blocks of the sample's texts have."""
+class Bare(dict):
+    """Numbers of words without their marks by words as they stand in texts, in the order of ``names``; that of no word is 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                for k in range(0, len(words), BLOCK):
-                    n.update(set(words[k : k + BLOCK]))
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+    def __init__(self):
+        super().__init__()
+        self.names, self.numbers = [""], {"": 0}
 
-    top = sample.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
-    return [r["word"] for r in top.collect()]
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(MARKS)
+        k = self.numbers.get(bare)
+        if k is None:
+            k = self.numbers[bare] = len(self.names)
+            self.names.append(bare)
+        self[word] = k
+        return k
 
 
-def tokens(docs: DataFrame, terms: Terms) -> DataFrame:
-    """doc_id and ids, the term ids of the whole text, of every row; stored, so that texts are split once."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def in_blocks(ids: np.ndarray, lengths: np.ndarray, m: int) -> np.ndarray:
+    """In how many blocks of BLOCK words each of ``m`` words is, of texts of ``lengths`` words that stand in one row; for word 0 the number of blocks."""
+    blocks = -(-lengths // BLOCK)
+    at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = at // BLOCK + np.repeat(np.cumsum(blocks) - blocks, lengths)
+    pairs = np.sort(at * m + ids)
+    n = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % m, minlength=m)
+    n[0] = blocks.sum()
+    return n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                own = [shared.value.of(x) for x in part.column(1).to_pylist()]
-                ends = np.cumsum([0] + [len(x) for x in own]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
-    return stored(_read(docs).mapInArrow(run, "doc_id long, ids array<int>"), "tokens", "zstd")
+def split_texts(docs: DataFrame) -> DataFrame:
+    """The words of the whole text of every row, stored, so that texts are split once.
 
+    A row holds texts until they are TEXTS or have TEXT_WORDS words: their doc_ids, their lengths in words, the numbers of their words one
+    after the other, and for each number the word and in how many blocks of these texts it is.
+    """
 
-def id_lists(column: pa.ListArray) -> list[np.ndarray]:
-    return [np.asarray(x.values) for x in column]
+    def row(bare: Bare, ids: list[int | None], own: list[list[str]]) -> pa.RecordBatch:
+        lengths = np.array([len(x) for x in own])
+        k = np.fromiter(map(bare.__getitem__, chain.from_iterable(own)), np.int64, lengths.sum())
+        n = in_blocks(k, lengths, len(bare.names))
+        have = np.flatnonzero(n)
+        have = have if len(have) and have[0] == 0 else np.concatenate([[0], have])
+        place = np.zeros(len(n), np.int32)
+        place[have] = np.arange(len(have))
+        columns = (pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (lengths, pa.int32()), (place[k], pa.int32()), ([bare.names[i] for i in have.tolist()], pa.string()), (n[have], pa.int64())))
+        return pa.RecordBatch.from_arrays(list(columns), ["doc_ids", "lengths", "ids", "words", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bare, ids, own, size = Bare(), [], [], 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(i)
+                own.append(text.as_py().lower().split())
+                size += len(own[-1])
+                if len(own) == TEXTS or size >= TEXT_WORDS:
+                    yield row(bare, ids, own)
+                    ids, own, size = [], [], 0
+                    if len(bare) >= KNOWN:
+                        bare = Bare()
+        if own:
+            yield row(bare, ids, own)
+
+    return stored(_read(docs).mapInArrow(run, "doc_ids array<long>, lengths array<int>, ids array<int>, words array<string>, n array<long>"), "split", "zstd")
+
+
+def word_counts(split: DataFrame) -> DataFrame:
+    """word and n, in how many blocks of all texts it is, of every word there is; stored. The empty word's n is the number of blocks."""
+    each = split.select(F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("n").alias("n"))))
+    return stored(each.groupBy("word").agg(F.sum("n").alias("n")), "words", "zstd")
+
+
+def common_words(counts: DataFrame) -> list[str]:
+    """The COMMON words that most blocks of all texts have."""
+    top = counts.where("word <> ''").orderBy(F.desc("n"), "word").limit(COMMON)
+    return [r["word"] for r in top.collect()]
 
 
-def block_counts(read: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """In how many blocks of all of ``tokens`` each of ``n`` terms is, and the number of blocks. Both are summed on the executors."""
+def block_counts(counts: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
+    """In how many blocks of all texts each term is, and the number of blocks."""
+    shared = counts.sparkSession.sparkContext.broadcast({**terms.ids, "": len(terms.ids)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, blocks = np.zeros(n + 1, np.int64), 0
         for batch in batches:
-            for ids in id_lists(batch.column(0)):
-                at = np.flatnonzero(ids >= 0)
-                pairs = np.sort(at // BLOCK * n + ids[at])
-                counts[:n] += np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % max(1, n), minlength=n)
-                blocks += -(-len(ids) // BLOCK)
-        counts[n] = blocks
-        hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit])], ["term", "n"])
-
-    rows = read.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term
-    counts = np.zeros(n + 1, np.int64)
-    for r in rows:
-        counts[r["term"]] = r["n"]
-    return counts[:-1], int(counts[-1])
+            own = np.array([shared.value.get(w, -1) for w in batch.column(0).to_pylist()], np.int64)
+            hit = own >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(own[hit]), batch.column(1).filter(pa.array(hit))], ["term", "n"])
+
+    n = np.zeros(len(terms.ids) + 1, np.int64)
+    for r in counts.mapInArrow(run, "term long, n long").collect():  # a row a term
+        n[r["term"]] = r["n"]
+    shared.unpersist()
+    return n[:-1], int(n[-1])
+
+
+def term_ids(batch: pa.RecordBatch, terms: Terms) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """For each row of ``split_texts`` the doc_ids and the term ids of the texts in order, -1 for other words."""
+    for doc_ids, lengths, ids, words in zip(*batch.columns, strict=True):
+        known = np.array([terms.ids.get(w, -1) for w in words.as_py()], np.int32)
+        yield doc_ids.as_py(), np.split(known[np.asarray(ids.values)], np.cumsum(np.asarray(lengths.values))[:-1])
 
 
 def tf_idf(ids: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
@@ -345,35 +386,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found, sample = spark.createDataFrame([], SCHEMA), None
     while block := list(islice(everything, ITEM_BLOCK)):
         if block := [x for x in block if words_of(x[1])]:
-            sample = sample or sampled(docs)
-            found = found.unionByName(_leaks(docs, sample, Terms(block, common_words(sample))))
+            if not sample:
+                sample, split = sampled(docs), split_texts(docs)
+                counts = word_counts(split)
+                common = common_words(counts)
+            found = found.unionByName(_leaks(split, sample, counts, Terms(block, common)))
     if sample:
-        release(sample)
+        release(sample, split, counts)
     by_rank = F.struct(F.col("share"), F.col("kind") == "copy", F.col("cosine"), F.col("kind"))
     best = found.where("doc_id is not null").groupBy("doc_id", "item_id").agg(F.max(by_rank).alias("x"))
     return best.select("doc_id", "item_id", "x.kind", "x.share", "x.cosine")
 
 
-def _leaks(docs: DataFrame, sample: DataFrame, terms: Terms) -> DataFrame:
-    read = tokens(docs, terms)
-    counts, blocks = block_counts(read, len(terms.ids))
-    weight = np.maximum(np.log((blocks + 1) / (counts + 1)), 0.1).astype(np.float32)
+def _leaks(split: DataFrame, sample: DataFrame, counts: DataFrame, terms: Terms) -> DataFrame:
+    n, blocks = block_counts(counts, terms)
+    weight = np.maximum(np.log((blocks + 1) / (n + 1)), 0.1).astype(np.float32)
     rows = np.concatenate([tf_idf(row[: WINDOWS[-1]], weight, 2 * WINDOWS[-1]) for row in terms.rows])
     index = Index(terms.rows, fit_basis(sample, rows, terms, weight), weight)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, index))
+    shared = split.sparkSession.sparkContext.broadcast((terms, index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                best = searched(known, own, id_lists(part.column(1)))
-                out = [(i, known.items[k][0], kind, share, c) for i, found in zip(part.column(0).to_pylist(), best, strict=True) for k, (share, kind, c) in found.items()]
+        for doc_ids, texts in (x for batch in batches for x in term_ids(batch, known)):
+            for lo in range(0, len(texts), 200):
+                best = searched(known, own, texts[lo : lo + 200])
+                out = [(i, known.items[k][0], kind, share, c) for i, found in zip(doc_ids[lo : lo + 200], best, strict=True) for k, (share, kind, c) in found.items()]
                 if out:
                     columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()), strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["doc_id", "item_id", "kind", "share", "cosine"])
 
-    return stored(read.mapInArrow(run, SCHEMA), "found")
+    return stored(split.select("doc_ids", "lengths", "ids", "words").mapInArrow(run, SCHEMA), "found")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

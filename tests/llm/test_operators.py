@@ -369,6 +369,29 @@ def test_decontamination_recall(spark):
     assert set(left) == {i for i, _ in docs + planted} - {i for i, _ in got}
 
 
+def test_common_words_and_weights_are_counted_in_all_texts(spark, monkeypatch):
+    docs = [(k, t) for k, (_, t) in enumerate(DOCS[:60])] + [(100, None), (101, '.. a, "a" .'), (None, "Usual, " * 100), (101, "usual " * 2000)]
+    monkeypatch.setattr(decontaminate, "SAMPLE_DOCS", 3)
+    for name, most in (("KNOWN", 200), ("TEXTS", 7), ("TEXT_WORDS", 900)):
+        monkeypatch.setattr(decontaminate, name, most, raising=False)
+    seen, real = [], decontaminate.common_words
+    monkeypatch.setattr(decontaminate, "common_words", lambda x: seen.append(real(x)) or seen[-1])
+    bench = spark.createDataFrame([(1, "usual words"), (2, "another item")], "item_id long, text string")
+    decontaminate.leaks(frame(spark, docs), bench).collect()
+    n = defaultdict(int)
+    for _, t in docs:
+        words = (t or "").lower().split()
+        for k in range(0, len(words), decontaminate.BLOCK):
+            n[""] += 1
+            for w in {x.strip(decontaminate.MARKS) for x in words[k : k + decontaminate.BLOCK]} - {""}:
+                n[w] += 1
+    blocks = n.pop("")
+    assert seen == [sorted(n, key=lambda w: (-n[w], w.encode()))[: decontaminate.COMMON]]
+    terms = decontaminate.Terms([(1, "usual nowhere")], seen[0])
+    got, all_of = decontaminate.block_counts(decontaminate.word_counts(decontaminate.split_texts(frame(spark, docs))), terms)
+    assert all_of == blocks and dict(zip(terms.ids, got.tolist(), strict=True)) == {w: n.get(w, 0) for w in terms.ids}
+
+
 def latent(texts, items, grow=1):
     """Terms and index as the operator makes them, but with a basis by power iteration on the passages' and items' rows."""
     n = defaultdict(int)
