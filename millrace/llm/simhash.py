@@ -117,11 +117,12 @@ def near_links(points: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
 def _grouped(docs: DataFrame, radius: int) -> DataFrame:
     """doc_id, fp and component_id of every row, and th, a hash of its text."""
     prints = stored(fingerprints(docs), "prints")
+    n = prints.count()
     first = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc"))
     found = components(near_links(prints.where("doc_id is not null"), radius), "a", "b")
-    member = stored(first.join(found, first.fp == found.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "member")
-    least = stored(member.groupBy("root").agg(F.min("doc").alias("component_id")), "least")
-    of = stored(member.join(least, "root").select("fp", "component_id"), "of")
+    member = stored(first.join(found, first.fp == found.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "member", rows=n)
+    least = stored(member.groupBy("root").agg(F.min("doc").alias("component_id")), "least", rows=n)
+    of = stored(member.join(least, "root").select("fp", "component_id"), "of", rows=n)
     release(member, least)
     owned = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     return prints.join(of, "fp", "left").select("doc_id", "fp", "th", owned)

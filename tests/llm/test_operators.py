@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bpe, decontaminate, licenses, lines, parsing, passages, quality, queries, simhash, urls, wrappers
+from millrace.llm import bpe, common, decontaminate, licenses, lines, parsing, passages, quality, queries, simhash, urls, wrappers
 from millrace.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +58,28 @@ def groups(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
+def test_components_of_few_edges_are_written_by_few_tasks(spark, monkeypatch):
+    files, write = [], common.stored
+
+    def watched(*args, **named):
+        files.append(len((out := write(*args, **named)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "stored", watched)
+    own = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 10], "a long, b long")
+        got = {r["node"]: r["root"] for r in components(edges, "a", "b").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == {k: max(1, (k - 1) // 10 * 10 + 1) for k in range(1, 301)}
+    assert max(files[1:]) <= common.FILES
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
