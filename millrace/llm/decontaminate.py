@@ -21,10 +21,11 @@ keeps them whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ COSINE = 0.45
 DIMS, EXTRA, SAMPLE_DOCS, COMMON, ITEM_BLOCK, ITEM_ENERGY = 128, 16, 1000, 2048, 20_000, 2.0
 #: Words projected at a time, so that their vectors stay in a core's cache.
 PIECE = 4096
-#: Words that a Python worker remembers between texts; texts of a row of ``split_texts``, and words with which it is full.
-KNOWN, TEXTS, TEXT_WORDS = 500_000, 1000, 400_000
+#: Words that a ``Lookup`` remembers between texts; texts of a row of ``split_texts``, and words (of WORD_CHARS characters) with which it is full.
+KNOWN, TEXTS, TEXT_WORDS, WORD_CHARS = 500_000, 1000, 400_000, 6
 MARKS = ".,;:!?\"'()"
 
 
@@ -73,10 +74,15 @@ class Terms:
             for w in words:
                 self.ids.setdefault(w, len(self.ids))
         self.lookup = Lookup(self.ids)
+        self.words = pa.array(self.ids, pa.string())  # in the order of their ids
         self.rows = [np.array([self.ids[w] for w in words], np.int64) for _, words in self.items]
         self.all = np.concatenate(self.rows) if self.rows else np.zeros(0, np.int64)
         self.lengths = np.array([len(r) for r in self.rows], np.int64)
 
+    def numbers(self, words: pa.StringArray) -> np.ndarray:
+        """Term ids of words without their marks, -1 for other words."""
+        return np.asarray(pc.index_in(words, value_set=self.words).fill_null(-1))
+
     def possible(self, ids: np.ndarray) -> np.ndarray:
         """For each item whether at least PARAPHRASE of its words are in a text at all; ``verify`` accepts no other."""
         there = np.zeros(len(self.ids), np.int32)
@@ -114,23 +120,6 @@ def sampled(docs: DataFrame) -> DataFrame:
     return stored(own.select("text").repartition(8), "sample")
 
 
-class Bare(dict):
-    """Numbers of words without their marks by words as they stand in texts, in the order of ``names``; that of no word is 0."""
-
-    def __init__(self):
-        super().__init__()
-        self.names, self.numbers = [""], {"": 0}
-
-    def __missing__(self, word: str) -> int:
-        bare = word.strip(MARKS)
-        k = self.numbers.get(bare)
-        if k is None:
-            k = self.numbers[bare] = len(self.names)
-            self.names.append(bare)
-        self[word] = k
-        return k
-
-
 def in_blocks(ids: np.ndarray, lengths: np.ndarray, m: int) -> np.ndarray:
     """In how many blocks of BLOCK words each of ``m`` words is, of texts of ``lengths`` words that stand in one row; for word 0 the number of blocks."""
     blocks = -(-lengths // BLOCK)
@@ -149,31 +138,28 @@ def split_texts(docs: DataFrame) -> DataFrame:
     after the other, and for each number the word and in how many blocks of these texts it is.
     """
 
-    def row(bare: Bare, ids: list[int | None], own: list[list[str]]) -> pa.RecordBatch:
-        lengths = np.array([len(x) for x in own])
-        k = np.fromiter(map(bare.__getitem__, chain.from_iterable(own)), np.int64, lengths.sum())
-        n = in_blocks(k, lengths, len(bare.names))
-        have = np.flatnonzero(n)
-        have = have if len(have) and have[0] == 0 else np.concatenate([[0], have])
-        place = np.zeros(len(n), np.int32)
-        place[have] = np.arange(len(have))
-        columns = (pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (lengths, pa.int32()), (place[k], pa.int32()), ([bare.names[i] for i in have.tolist()], pa.string()), (n[have], pa.int64())))
-        return pa.RecordBatch.from_arrays(list(columns), ["doc_ids", "lengths", "ids", "words", "n"])
+    def row(ids: list[int | None], own: list[str]) -> pa.RecordBatch:
+        each = pc.utf8_split_whitespace(pa.array([x or None for x in own], pa.string()))  # at the characters of str.split(); no text begins or ends with one
+        lengths = np.asarray(pc.list_value_length(each).fill_null(0)).astype(np.int64)
+        bare = pa.concat_arrays([pa.array([""]), pc.ascii_trim(each.flatten(), characters=MARKS)]).dictionary_encode()
+        k = np.asarray(bare.indices)[1:]  # 0 is the number of the empty word
+        n = in_blocks(k, lengths, len(bare.dictionary))
+        columns = ((pa.array(ids, pa.int64()), pa.int64()), (lengths, pa.int32()), (k, pa.int32()), (bare.dictionary, pa.string()), (n, pa.int64()))
+        arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t) if isinstance(x, np.ndarray) else x) for x, t in columns]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_ids", "lengths", "ids", "words", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bare, ids, own, size = Bare(), [], [], 0
+        ids, own, size = [], [], 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(i)
-                own.append(text.as_py().lower().split())
+                own.append(text.as_py().lower().strip())
                 size += len(own[-1])
-                if len(own) == TEXTS or size >= TEXT_WORDS:
-                    yield row(bare, ids, own)
+                if len(own) == TEXTS or size >= TEXT_WORDS * WORD_CHARS:
+                    yield row(ids, own)
                     ids, own, size = [], [], 0
-                    if len(bare) >= KNOWN:
-                        bare = Bare()
         if own:
-            yield row(bare, ids, own)
+            yield row(ids, own)
 
     return stored(_read(docs).mapInArrow(run, "doc_ids array<long>, lengths array<int>, ids array<int>, words array<string>, n array<long>"), "split", "zstd")
 
@@ -192,13 +178,13 @@ def common_words(counts: DataFrame) -> list[str]:
 
 def block_counts(counts: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
     """In how many blocks of all texts each term is, and the number of blocks."""
-    shared = counts.sparkSession.sparkContext.broadcast({**terms.ids, "": len(terms.ids)})
+    shared = counts.sparkSession.sparkContext.broadcast(pa.concat_arrays([terms.words, pa.array([""])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([shared.value.get(w, -1) for w in batch.column(0).to_pylist()], np.int64)
-            hit = own >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(own[hit]), batch.column(1).filter(pa.array(hit))], ["term", "n"])
+            own = pc.index_in(batch.column(0), value_set=shared.value)
+            hit = own.is_valid()
+            yield pa.RecordBatch.from_arrays([own.filter(hit).cast(pa.int64()), batch.column(1).filter(hit)], ["term", "n"])
 
     n = np.zeros(len(terms.ids) + 1, np.int64)
     for r in counts.mapInArrow(run, "term long, n long").collect():  # a row a term
@@ -210,7 +196,7 @@ def block_counts(counts: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
 def term_ids(batch: pa.RecordBatch, terms: Terms) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
     """For each row of ``split_texts`` the doc_ids and the term ids of the texts in order, -1 for other words."""
     for doc_ids, lengths, ids, words in zip(*batch.columns, strict=True):
-        known = np.array([terms.ids.get(w, -1) for w in words.as_py()], np.int32)
+        known = terms.numbers(words.values)
         yield doc_ids.as_py(), np.split(known[np.asarray(ids.values)], np.cumsum(np.asarray(lengths.values))[:-1])
 
 
@@ -346,24 +332,25 @@ class Index:
 def searched(known: Terms, index: Index, own: list[np.ndarray]) -> list[dict[int, tuple[float, str, float]]]:
     """For each text (its term ids) the share, kind and cosine of the items that leak into it.
 
-    Texts are searched in one row with gaps in between that no window spans, each beginning at a multiple of the index's step. Of a long
-    item the piece that was found is looked for first.
+    Texts in which no item is possible are left out; the others are searched in one row with gaps in between that no window spans, each
+    beginning at a multiple of the index's step. Of a long item the piece that was found is looked for first.
     """
     tail = WINDOWS[-1]
-    gaps = [np.full(tail + -len(x) % index.step, -1, np.int32) for x in own]
-    begins = np.cumsum([0] + [len(x) + len(g) for x, g in zip(own, gaps, strict=True)])
     best: list[dict[int, tuple[float, str, float]]] = [{} for _ in own]
-    row = np.concatenate([x for pair in zip(own, gaps, strict=True) for x in pair]) if own else np.zeros(0, np.int32)
-    possible: dict[int, np.ndarray] = {}
-    inside = np.concatenate([x for a, g in zip(own, gaps, strict=True) for x in (np.ones(len(a), bool), np.zeros(len(g), bool))]) if own else np.zeros(0, bool)
+    possible = np.array([known.possible(x) for x in own]).reshape(len(own), len(known.rows))
+    some = np.flatnonzero(possible.any(axis=1))
+    if not len(some):
+        return best
+    gaps = [np.full(tail + -len(own[d]) % index.step, -1, np.int32) for d in some]
+    begins = np.cumsum([0] + [len(own[d]) + len(g) for d, g in zip(some, gaps, strict=True)])
+    row = np.concatenate([x for d, g in zip(some, gaps, strict=True) for x in (own[d], g)])
+    inside = np.concatenate([x for d, g in zip(some, gaps, strict=True) for x in (np.ones(len(own[d]), bool), np.zeros(len(g), bool))])
     for places, length, pieces_, numbers, cosines in index.candidates(row, inside):
         docs = np.searchsorted(begins, places, side="right") - 1
-        for d, at, j, cosine in zip(docs.tolist(), (places - begins[docs]).tolist(), numbers.tolist(), cosines.tolist(), strict=True):
+        places, docs = places - begins[docs], some[docs]
+        held = possible[docs, np.array([k for k, _ in pieces_])[numbers]]
+        for d, at, j, cosine in zip(*(x[held].tolist() for x in (docs, places, numbers, cosines)), strict=True):
             k, piece = pieces_[j]
-            if d not in possible:
-                possible[d] = known.possible(own[d])
-            if not possible[d][k]:
-                continue
             text, item, last = own[d], known.rows[k], best[d].get(k, (0.0, "", 0.0))
             if last[0] == 1.0:
                 continue

@@ -414,6 +414,20 @@ def test_common_words_and_weights_are_counted_in_all_texts(spark, monkeypatch):
     assert all_of == blocks and dict(zip(terms.ids, got.tolist(), strict=True)) == {w: n.get(w, 0) for w in terms.ids}
 
 
+def test_texts_without_enough_words_of_an_item_are_not_projected(monkeypatch):
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "one two three four five six seven eight nine")]
+    terms = decontaminate.Terms(items, ["of"])
+    index = decontaminate.Index(terms.rows, np.eye(len(terms.ids), dtype=np.float32), np.ones(len(terms.ids), np.float32))
+    rows, real = [], index.candidates
+    monkeypatch.setattr(index, "candidates", lambda ids, inside: rows.append(int(inside.sum())) or real(ids, inside))
+    texts = ["of " * 500, "one two three of " * 90, "of of " + items[0][1] + " of" * 20, ""]
+    got = decontaminate.searched(terms, index, [terms.of(t) for t in texts])
+    assert [sorted(x) for x in got] == [[], [], [0], []] and got[2][0][:2] == (1.0, "copy")
+    assert rows == [30]
+    assert decontaminate.searched(terms, index, [terms.of(texts[0])]) == [{}] and len(rows) == 1
+    assert decontaminate.searched(terms, index, []) == []
+
+
 def latent(texts, items, grow=1):
     """Terms and index as the operator makes them, but with a basis by power iteration on the passages' and items' rows."""
     n = defaultdict(int)
