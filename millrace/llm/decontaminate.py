@@ -43,6 +43,8 @@ DIMS, EXTRA, SAMPLE_DOCS, COMMON, ITEM_BLOCK, ITEM_ENERGY = 128, 16, 1000, 2048,
 PIECE = 4096
 #: Words that a ``Lookup`` remembers between texts; texts of a row of ``split_texts``, and words (of WORD_CHARS characters) with which it is full.
 KNOWN, TEXTS, TEXT_WORDS, WORD_CHARS = 500_000, 1000, 400_000, 6
+#: Rows of ``split_texts``, and texts before they are split, that a task holds at once.
+SPLIT_GROUP, SPLIT_BATCH = 2, 200
 MARKS = ".,;:!?\"'()"
 
 
@@ -161,7 +163,7 @@ def split_texts(docs: DataFrame) -> DataFrame:
         if own:
             yield row(ids, own)
 
-    return stored(_read(docs).mapInArrow(run, "doc_ids array<long>, lengths array<int>, ids array<int>, words array<string>, n array<long>"), "split", "zstd")
+    return stored(_read(docs).mapInArrow(run, "doc_ids array<long>, lengths array<int>, ids array<int>, words array<string>, n array<long>"), "split", "zstd", group=SPLIT_GROUP, batch=SPLIT_BATCH)
 
 
 def word_counts(split: DataFrame) -> DataFrame:
@@ -402,7 +404,7 @@ def _leaks(split: DataFrame, sample: DataFrame, counts: DataFrame, terms: Terms)
                     columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()), strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["doc_id", "item_id", "kind", "share", "cosine"])
 
-    return stored(split.select("doc_ids", "lengths", "ids", "words").mapInArrow(run, SCHEMA), "found")
+    return stored(split.select("doc_ids", "lengths", "ids", "words").mapInArrow(run, SCHEMA), "found", batch=SPLIT_GROUP)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

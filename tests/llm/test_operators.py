@@ -10,6 +10,8 @@ from hashlib import sha256
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -414,6 +416,27 @@ def test_common_words_and_weights_are_counted_in_all_texts(spark, monkeypatch):
     assert all_of == blocks and dict(zip(terms.ids, got.tolist(), strict=True)) == {w: n.get(w, 0) for w in terms.ids}
 
 
+def test_tasks_hold_few_rows_of_split_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "TEXTS", 1)
+    split = decontaminate.split_texts(frame(spark, DOCS[:40]).coalesce(1))
+    held = [pq.read_metadata(f.removeprefix("file://")) for f in split.inputFiles()]
+    rows = [m.row_group(k).num_rows for m in held for k in range(m.num_row_groups)]
+    assert sum(rows) == 40 and max(rows) <= decontaminate.SPLIT_GROUP
+    seen, write = {}, common.stored
+
+    def watched(df, name, *args, **named):
+        seen[name] = named
+        return write(df, name, *args, **named)
+
+    monkeypatch.setattr(decontaminate, "stored", watched)
+    decontaminate.leaks(frame(spark, DOCS[:40]), spark.createDataFrame([(1, "an item")], "item_id long, text string")).collect()
+    assert seen["split"]["batch"] == decontaminate.SPLIT_BATCH and seen["found"]["batch"] == decontaminate.SPLIT_GROUP
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    before = spark.conf.get(common.BATCH)
+    got = common.stored(spark.range(10).coalesce(1).mapInArrow(sizes, "n long"), "sizes", batch=3)
+    assert sorted(r["n"] for r in got.collect()) == [1, 3, 3, 3] and spark.conf.get(common.BATCH) == before
+
+
 def test_texts_without_enough_words_of_an_item_are_not_projected(monkeypatch):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "one two three four five six seven eight nine")]
     terms = decontaminate.Terms(items, ["of"])
