@@ -201,6 +201,34 @@ def test_bands_find_similar_lines_and_split_large_buckets(spark):
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 50
 
 
+def test_similar_lines_of_a_large_bucket_are_all_joined(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SMALL", 2)
+    rng = random.Random(4)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    change = lambda words, k: [f"q{rng.randrange(10**6)}" if p in own else w for own in [rng.sample(range(60), k)] for p, w in enumerate(words)]
+    far = [change(base, 4) for _ in range(120)]  # unlike the base, but each like another one
+    texts = [" ".join(x) for x in [base, *(change(base, rng.randrange(1, 4)) for _ in range(150)), *far, *(change(x, k) for x in far for k in (2, 3))]]
+    own = lines.stored(lines.occurrences(frame(spark, list(enumerate(texts)))), "lines")
+    text = {r["h1"]: r["line"] for r in own.collect()}
+    sets = {h: {t[j : j + 8] for j in range(len(t) - 7)} for h, t in text.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    every = {(a, b) for a in sets for b in sets if a < b and alike(a, b)}
+    apart = spark.createDataFrame([(h, t, h) for h, t in text.items()] + [(1, "short", 1)], "h1 long, line string, c long")
+    pairs = [tuple(r) for r in lines.rest_pairs(apart).collect()]
+    assert every <= set(pairs) and len(pairs) == len(set(pairs)) < len(sets) * (len(sets) - 1) / 2
+    assert lines.rest_pairs(apart.withColumn("c", F.lit(0))).count() == 0
+    buckets = defaultdict(list)
+    for r in lines.shared_keys(lines.band_keys(lines.distinct_lines(own), lines.WIDE), "k0").collect():
+        buckets[r["key"]].append(r["h1"])
+        assert r["n"] > 1
+    assert max(map(len, buckets.values())) > lines.SMALL
+    near = [(a, b) for m in buckets.values() for a in m for b in m if (a, b) in every]
+    got = {r["h1"]: r["root"] for r in lines.line_components(own).collect()}
+    assert all(got[a] == got[b] for a, b in near)
+    every_root = groups(every, sets)  # lines of no common bucket may be joined too, but only similar ones
+    assert all(every_root[h] == every_root[r] for h, r in got.items())
+
+
 def test_fingerprints_and_next_documents(spark):
     rows = [r for r in DOCS[:50]] + [(900, None), (901, ""), (902, "x"), (903, DOCS[3][1])]
     got = {r["doc_id"]: r for r in parsing.fingerprint_docs(frame(spark, rows)).collect()}
