@@ -201,6 +201,45 @@ def test_bands_find_similar_lines_and_split_large_buckets(spark):
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 50
 
 
+def test_band_keys_by_brute_force(spark):
+    rng = random.Random(21)
+    texts = ["aaaaaaaa", "a" * 300, "short", "caf\u00e9 \U0001f600 na\u00efve", *(" ".join(rng.choices(WORDS, k=k)) for k in (2, 3, 10, 40, 300))]
+    signed = lambda x: x - (x >> 63 << 64)
+    hashed = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+
+    def keys(text):
+        b = text.encode("utf-16-be")
+        xs = [hashed(b[j : j + 16]) for j in range(0, len(b) - 15, 2)]
+        least = [min(signed(x ^ (k << 58)) for x in xs) for k in range(lines.BINS)]
+        out = []
+        for j, band in enumerate(lines.WIDE):
+            key = hashed(j.to_bytes(4, "little"))
+            for k in band:
+                key = hashed(least[k].to_bytes(8, "little", signed=True), key)
+            out.append(signed(key))
+        return out
+
+    own = spark.createDataFrame(list(enumerate(texts)), "h1 long, line string").repartition("h1")
+    got = {r["h1"]: r["k0"] for r in lines.band_keys(own, lines.WIDE).collect()}
+    assert got == {k: keys(t) for k, t in enumerate(texts) if t != "short"}
+
+
+def test_line_dedup_has_one_plan_for_all_sizes(spark):
+    rows = [(k, "a line that recurs\n" + " ".join(random.Random(k).choices(WORDS, k=9))) for k in range(20)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables beyond it
+    try:
+        got = lines.drop_lines(frame(spark, rows))
+        plan = got._jdf.queryExecution().toString()
+        assert sum(r["n_removed"] for r in got.collect()) == 19
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    # a text is hashed below the split into lines, once
+    read = lines.occurrences(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(text" not in read.split("Generate")[0].replace("coalesce(", "") and "xxhash64(" in read.split("Generate")[1]
+
+
 def test_similar_lines_of_a_large_bucket_are_all_joined(spark, monkeypatch):
     monkeypatch.setattr(lines, "SMALL", 2)
     rng = random.Random(4)
