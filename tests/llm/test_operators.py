@@ -240,6 +240,34 @@ def test_line_dedup_has_one_plan_for_all_sizes(spark):
     assert "xxhash64(text" not in read.split("Generate")[0].replace("coalesce(", "") and "xxhash64(" in read.split("Generate")[1]
 
 
+def test_lines_are_encoded_once_and_no_pair_is_tried_again(spark, monkeypatch):
+    # a filter on the units would encode each line once more below the explode, and one by a pattern would decode it
+    own = spark.createDataFrame([(1, "a line of some length")], "h1 long, line string")
+    plan = lines.band_keys(own, lines.WIDE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UTF-16BE") == 1
+    assert "RLIKE" not in lines.occurrences(frame(spark, [(1, "a")]))._jdf.queryExecution().optimizedPlan().toString()
+    tried, told, inner, write = [], {}, lines.similar, lines.stored
+    monkeypatch.setattr(lines, "similar", lambda pairs, texts: tried.append({tuple(r) for r in pairs.select("a", "b").collect()}) or inner(pairs, texts))
+    monkeypatch.setattr(lines, "stored", lambda df, name, *a, **k: told.setdefault(name, k) and None or write(df, name, *a, **k))
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(40)]
+    rows = [(k, " ".join(f"q{rng.randrange(10**6)}" if rng.random() < 0.06 else w for w in base)) for k in range(40)]
+    before = spark.conf.get(common.GROUPS, None)
+    got = {r["doc_id"]: r["text"] for r in lines.drop_lines(frame(spark, rows)).collect()}
+    assert told["keys"]["groups"] == lines.GROUPS and spark.conf.get(common.GROUPS, None) == before
+    first, second = tried
+    assert first and second and not first & second
+    kept = slow_lines(rows)
+    assert {i for i, t in kept.items() if t} <= {i for i, t in got.items() if t} and any(not t for t in got.values())
+
+
+def test_lines_of_blanks_are_left_out(spark):
+    blank = ["", " ", "   ", "\t", " \x0b\f\r ", "\t \t"]
+    other = ["\u00a0", "\u3000 ", " \t x", "\x1f", "\x00 "]
+    got = [r["pos"] for r in lines.occurrences(frame(spark, [(1, "\n".join(blank + other))])).collect()]
+    assert sorted(got) == list(range(len(blank), len(blank + other)))
+
+
 def test_similar_lines_of_a_large_bucket_are_all_joined(spark, monkeypatch):
     monkeypatch.setattr(lines, "SMALL", 2)
     rng = random.Random(4)
